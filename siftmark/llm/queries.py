@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import chat, fingerprints, language
+from siftmark.llm import chat, decontaminate, fingerprints, language, packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +19,19 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.to_json(c) for c in ("target_starts", "target_lengths")})
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -33,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op8_fingerprints": fingerprints.sql()}
+    return {"op2_chat_format": chat.SQL, "op7_decontamination": decontaminate.SQL, "op8_fingerprints": fingerprints.sql()}
