@@ -5,8 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NO_ID = (1 << 63) - 1  # stands for a null doc_id between the steps of an operator, and sorts last
 
 _written: dict[str, object] = {}
 
@@ -52,3 +58,46 @@ def tuned(spark: SparkSession) -> SparkSession:
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "1000")
     return spark
+
+
+def identity(docs: DataFrame) -> list[Column]:
+    """id and h, which tell the rows of docs apart but for those that are alike in doc_id and text, and text.
+    id orders documents; a null doc_id comes last."""
+    own, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return [F.coalesce(own, F.lit(NO_ID)).alias("id"), F.shiftright(F.xxhash64(own, text), 32).cast("int").alias("h"), text.alias("text")]
+
+
+def named(id: Column) -> Column:
+    """The doc_id that an id stands for."""
+    return F.nullif(id, F.lit(NO_ID))
+
+
+def whole(batches: Iterator[pa.RecordBatch], *keys: str, rows: int = 100_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` sorted rows that don't cut a group of equal integer keys."""
+    held: list[pa.RecordBatch] = []
+    n, enough = 0, rows
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < enough:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = changes(table, *keys)
+        cut = int(starts[-1])
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        n -= cut
+        enough = max(rows, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def changes(table: pa.Table, *keys: str) -> np.ndarray:
+    """Where groups of equal keys begin."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        x = table[key].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
