@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import chat, decontaminate, fingerprints, jaccard, language, packing
+from siftmark.llm import chat, decontaminate, fingerprints, jaccard, language, packing, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op7_decontamination": decontaminate.SQL, "op8_fingerprints": fingerprints.sql()}
+    return {"op2_chat_format": chat.SQL, "op5_suffix_array": suffixes.SQL, "op7_decontamination": decontaminate.SQL, "op8_fingerprints": fingerprints.sql()}
