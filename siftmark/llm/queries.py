@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm import chat, decontaminate, fingerprints, jaccard, language, packing, suffixes
+from siftmark.llm import chat, decontaminate, fingerprints, jaccard, language, lm, packing, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.to_json(c) for c in ("target_starts", "target_lengths")})
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
