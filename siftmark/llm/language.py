@@ -17,6 +17,7 @@ ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.5
 TRAIN_ROWS = 20_000
 LEAST_CONFIDENCE = 0.5
 LARGEST_MODEL = 1 << 30
+LETTERS = "_siftmark_letters"
 
 
 def buckets(points: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
@@ -104,6 +105,23 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(languages, prior, np.hstack((table, np.zeros((len(languages), 1)))).astype(np.float32))
 
 
+def _identified(column: pa.Array, letter: np.ndarray, model: Model, least: float) -> tuple[pa.Array, ...]:
+    """Language, confidence, number of n-grams and whether to keep, of each text."""
+    k = len(column)
+    score, n = np.zeros((k, len(model.languages))), np.zeros(k, np.int64)
+    for first, points, bounds in T.codepoints(column):
+        score[first : first + len(bounds) - 1], n[first : first + len(bounds) - 1] = model.scores(points, bounds)
+    best, sure = np.full(k, -1), np.zeros(k)
+    if model.languages:
+        score = np.hstack((score + model.prior, (-np.log(1 << BITS) * n)[:, None]))
+        best = score.argmax(1)
+        sure = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
+    known = letter & (best >= 0) & (best < len(model.languages))
+    keep = letter if not model.languages else known & (sure >= least)
+    names = pa.array([*model.languages, None], pa.string()).take(pa.array(np.where(known, best, len(model.languages))))
+    return names, pa.array(np.where(known, sure, 0.0)), pa.array(n), pa.array(keep)
+
+
 def identify(docs: DataFrame, model: Model, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """(doc_id, lang, confidence, n_grams, keep) for every row of docs.
 
@@ -119,20 +137,31 @@ def identify(docs: DataFrame, model: Model, least: float = LEAST_CONFIDENCE) ->
     letters = docs["text"].cast("string").rlike(r"\p{L}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
-            ids, letter = T.column_of(batch, "doc_id"), T.column_of(batch, "letters").fill_null(False).to_numpy(zero_copy_only=False)
-            for first, points, bounds in T.codepoints(T.column_of(batch, "text")):
-                k = len(bounds) - 1
-                score, n = model.scores(points, bounds)
-                best, sure = np.full(k, -1), np.zeros(k)
-                if model.languages:
-                    score = np.hstack((score + model.prior, (-np.log(1 << BITS) * n)[:, None]))
-                    best = score.argmax(1)
-                    sure = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
-                known = letter[first : first + k] & (best >= 0) & (best < len(model.languages))
-                keep = letter[first : first + k] if not model.languages else known & (sure >= least)
-                names = pa.array([*model.languages, None], pa.string()).take(pa.array(np.where(known, best, len(model.languages))))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, k), names, pa.array(np.where(known, sure, 0.0)), pa.array(n), pa.array(keep)], ["doc_id", "lang", "confidence", "n_grams", "keep"])
+            letter = T.column_of(batch, "letters").fill_null(False).to_numpy(zero_copy_only=False)
+            names, sure, n, kept = _identified(T.column_of(batch, "text"), letter, sent.value, least)
+            yield pa.RecordBatch.from_arrays([T.column_of(batch, "doc_id"), names, sure, n, kept], ["doc_id", "lang", "confidence", "n_grams", "keep"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), letters.alias("letters")).mapInArrow(run, "doc_id long, lang string, confidence double, n_grams long, keep boolean")
+
+
+def keep(docs: DataFrame, model: Model, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """The rows of docs, with all their columns, that identify() keeps; lang is what it found, or what docs has where
+    there is no labelled row to know a language by. Nothing is shuffled."""
+    spark = tuned(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(model)
+    place = {c: docs.columns.index(c) for c in ("text", "lang")}
+    text = docs["text"].cast("string")
+    fields = ", ".join(f"`{c.replace('`', '``')}` {'string' if i in place.values() else t}" for i, (c, t) in enumerate(docs.dtypes))
+    rows = docs.select(*(docs[c].cast("string").alias(c) if c in place else docs[c] for c in docs.columns), text.rlike(r"\p{L}").alias(LETTERS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letter = T.column_of(batch, LETTERS).fill_null(False).to_numpy(zero_copy_only=False)
+            names, _, _, kept = _identified(batch.column(place["text"]), letter, sent.value, least)
+            columns = batch.columns[:-1]
+            if sent.value.languages:
+                columns[place["lang"]] = names
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(kept)
+
+    return rows.mapInArrow(run, fields)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -310,6 +311,76 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     return out.select(named(F.col("id")).alias("doc_id"), F.col("pos").alias("start"), (F.col("n") + length - 1).alias("length"), named(F.col("fid")).alias("first_doc_id"), F.col("fpos").alias("first_start"))
 
 
+ID, H, CUTS = "_siftmark_id", "_siftmark_h", "_siftmark_cuts"
+
+
+def _without(column: pa.Array, cuts: pa.Array, length: int) -> tuple[pa.Array, np.ndarray]:
+    """The texts without the words of their cuts, and whether any word is left."""
+    bounds = np.append(0, np.cumsum(pc.list_value_length(cuts).to_numpy()))
+    spans = cuts.flatten()
+    pos, n = (spans.field(c).to_numpy() for c in ("pos", "n"))
+    pieces, left = [], []
+    for w in T.words(pc.ascii_lower(column), lower=False):  # bytes stay where they are
+        low, high = bounds[w.first], bounds[w.first + w.texts]
+        doc = np.searchsorted(bounds, np.arange(low, high), "right") - 1 - w.first
+        begin = w.bounds[doc] + pos[low:high]
+        edge = np.zeros(len(w.hashes) + 1, np.int64)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + n[low:high] + length - 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0  # by word
+        text = w.text_of()
+        turn = (gone[1:] != gone[:-1]) | (text[1:] != text[:-1])
+        first, last = np.flatnonzero(gone & np.append(True, turn)), np.flatnonzero(gone & np.append(turn, True))
+        drop = np.zeros(len(w.data) + 1, np.int64)
+        drop[w.starts[first]] += 1
+        drop[w.ends[last]] -= 1
+        keep = np.cumsum(drop[:-1]) == 0
+        keep[w.at[1:] - 1] = False  # the line break that words() puts after each text
+        size = np.add.reduceat(keep.astype(np.int64), w.at[:-1])
+        raw, _ = T._buffer(pc.binary_join_element_wise(column.slice(w.first, w.texts), "", "\n"))
+        pieces.append(pa.StringArray.from_buffers(w.texts, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(raw[keep])))
+        left.append(np.bincount(text[~gone], minlength=w.texts) > 0)
+    return pa.concat_arrays(pieces), np.concatenate(left)
+
+
+def _cut(index: int, length: int, count: int | None):
+    """Drops the spans of each row's last column from its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            cuts = batch.column(batch.num_columns - 1)
+            columns = batch.columns[:-1]
+            has = pc.greater(pc.list_value_length(cuts), 0)
+            if not pc.any(has).as_py():
+                yield pa.RecordBatch.from_arrays(columns, names)
+                continue
+            new, left = _without(columns[index].filter(has), cuts.filter(has), length)
+            columns[index] = pc.replace_with_mask(columns[index], has, new)
+            if count is not None:
+                columns[count] = pc.replace_with_mask(columns[count], has, pc.utf8_length(new).cast(columns[count].type))
+            stays = pc.replace_with_mask(pc.invert(has), has, pa.array(left))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(stays)
+
+    return run
+
+
+def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts lack the words of all passages of repeats().
+
+    The marks and blanks between dropped words go with them. n_chars, where docs has it as a number, is counted
+    anew. A document of which no word is left is dropped; one without such passages stays as it is, null and
+    empty texts too.
+    """
+    found = spans(docs, length, k).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n")).alias(CUTS)).withColumnsRenamed({"id": ID, "h": H})
+    id, h, _ = identity(docs)
+    rows = docs.select("*", id.alias(ID), h.alias(H)).join(found.hint("shuffle_hash"), [ID, H], "left")
+    types = dict(docs.dtypes)
+    rows = rows.select(*docs.columns, F.coalesce(CUTS, F.array().cast("array<struct<pos:int,n:int>>")).alias(CUTS))
+    count = docs.columns.index("n_chars") if types.get("n_chars") in ("int", "bigint") else None
+    return rows.mapInArrow(_cut(docs.columns.index("text"), length, count), docs.schema)
+
+
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, regexp_extract_all(lower(text), '{T.WORD}') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 x AS (SELECT r, doc_id, unnest(range(1, len(w) - {LENGTH - 2})) AS k, w FROM d WHERE len(w) >= {LENGTH}),
