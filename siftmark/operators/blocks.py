@@ -46,4 +46,4 @@ def append(lines: DataFrame, block: list[str]) -> DataFrame:
 def rewrite(lines: DataFrame, starts: list[str], end: str, managed: list[str], block: list[str]) -> DataFrame:
     """The block once, at the end; doing it again changes nothing. block begins with a start marker and closes with end.
     A file of which nothing is left keeps no line."""
-    return append(trim_end(strip(lines, starts, end, managed)), block)
+    return append(trim_end(strip(lines, starts, end, [*managed, *block])), block)
