@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 #: Where Python's splitlines() breaks.
 BREAK = "\r\n|[\n\r\u000b\f\u001c\u001d\u001e\u0085\u2028\u2029]"
+RARE_BREAK = BREAK[3:].replace("\n", "")
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 
 
 def split_lines(text: Column) -> Column:
     """Array of lines as splitlines() gives them: no empty one after a last break, none at all of an empty text."""
-    parts = F.split(text, BREAK, -1)
+    parts = F.when(text.rlike(RARE_BREAK), F.split(text, BREAK, -1)).otherwise(F.split(text, "\n", -1))
     last = F.element_at(parts, -1) == ""
     return F.slice(parts, 1, F.size(parts) - last.cast("int"))
 

@@ -32,17 +32,15 @@ def query(sql: str | None = None):
 SHORT = ["file", "line", "rule_ord", "pattern_name", "rule_name", "package", "registry", "severity", "message", "value_preview", "matched_content", "remediation"]
 
 
-def _rules(table: tuple[rules.Rule, ...]) -> str:
-    return c.sql_values([(k, r.name, r.pattern, r.severity, r.advice) for k, r in enumerate(table)], "rule_ord, rule_name, pattern, severity, advice")
-
-
 def _lines(source: str, key: str = "file") -> str:
     """The lines of a subquery; an empty last one can't match a rule but is left out all the same."""
     return f"(SELECT {key}, line::INT AS line, line_text FROM (SELECT {key}, unnest(ls) AS line_text, generate_subscripts(ls, 1) AS line, len(ls) AS n FROM (SELECT {key}, string_split(text, chr(10)) AS ls FROM {source}) _) _ WHERE line < n OR line_text <> '')"
 
 
 def _matches(source: str, table: tuple[rules.Rule, ...], key: str = "file") -> str:
-    return f"(SELECT {key}, line, rule_ord, rule_name, severity, advice, regexp_extract(line_text, pattern, 0) AS matched FROM {_lines(source, key)} l JOIN {_rules(table)} r ON regexp_matches(line_text, pattern))"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = (f"SELECT {key}, line, {k} AS rule_ord, {quoted(r.name)} AS rule_name, '{r.severity}' AS severity, {quoted(r.advice)} AS advice, regexp_extract(line_text, {quoted(r.pattern)}, 0) AS matched FROM l WHERE regexp_matches(line_text, {quoted(r.pattern)})" for k, r in enumerate(table))
+    return f"(WITH l AS MATERIALIZED {_lines(source, key)} {' UNION ALL '.join(each)})"
 
 
 MASK = "CASE WHEN length(matched) > 8 THEN left(matched, 4) || repeat('*', length(matched) - 8) || right(matched, 4) ELSE '****' END"
