@@ -2,9 +2,13 @@
 
 Characters are mapped to 63 symbols; the text begins and ends at a 64th. Every document counts: each task counts all
 runs of DEPTH + 1 symbols in its part, and these are summed by shuffle, so the counts of shorter contexts follow from those
-of longer ones. A context is a candidate where it makes up MIN_SHARE of all positions, which bounds the tree whatever
-the size of the corpus, and stays if its next-symbol distribution diverges from that of its suffix, or a
-longer context that stays ends with it.
+of longer ones. A context is a candidate where it occurs LEAST times, whatever the size of the corpus, so the tree grows
+with it. A candidate stays if its next-symbol distribution diverges from that of its suffix, or a longer context that
+stays ends with it.
+
+The tree is never in one place. It is cut into parts by the last NEAR symbols of a context, and a part is a row of a shared
+table; only contexts of fewer symbols, 64 ** 2 at most, are on the driver. Documents are scored in groups: a group
+asks each part once for each of its different runs, and the part answers with their bits.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
 from siftmark.llm.shared import materialise, tuned
 
-DEPTH, BITS = 5, 6
-MIN_SHARE, DIVERGENCE, PRIOR = 2e-5, 0.02, 16.0
+DEPTH, BITS, NEAR = 6, 6, 3
+LEAST, DIVERGENCE, PRIOR = 20, 0.02, 16.0
 SYMBOLS = 1 << BITS
 
 
@@ -79,7 +84,34 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def _count(depth: int):
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of ascending or small numbers, like places together."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=0)
+
+
+def _low(keys: np.ndarray, n: int) -> np.ndarray:
+    """The last n symbols."""
+    return keys & ((1 << BITS * n) - 1)
+
+
+def _by_part(grams: np.ndarray, near: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, which grams are its) of the parts that have some; the grams of a context of near or more symbols are in one."""
+    part = (T.mix(_low(grams >> BITS, near).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        yield k, order[at[k] : at[k + 1]]
+
+
+def _count(depth: int, near: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         waiting, size = [], 0
@@ -102,105 +134,209 @@ def _count(depth: int):
                     settle()
         settle()
         k, n = _summed(np.concatenate(keys), np.concatenate(counts))
-        for at in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["gram", "n"])
+        for part, own in _by_part(k, near, parts):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "grams": [_pack(_steps(k[own]))], "counts": [_pack(n[own])]})
 
     return run
 
 
-def _frequent(depth: int, least: float, shallow: int):
-    """Counts of the contexts of shallow to depth symbols that are frequent; all grams of a context are in one task."""
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    rows = [(np.cumsum(_unpack(g)), _unpack(n)) for g, n in zip(table["grams"].to_pylist(), table["counts"].to_pylist())]
+    return _summed(np.concatenate([g for g, _ in rows]), np.concatenate([n for _, n in rows]))
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    keys, counts = _counted(table)
+    return pa.table({"part": table["part"][:1], "grams": [_pack(_steps(keys))], "counts": [_pack(counts)]})
+
+
+def _shortened(near: int):
+    """Counts of the last near symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("gram", pa.int64()), ("n", pa.int64())]))
-        keys, counts = table["gram"].to_numpy(), table["n"].to_numpy()
-        for d in range(depth, shallow - 1, -1):
-            keys, counts = _summed(keys & ((1 << BITS * (d + 1)) - 1), counts)
-            if not len(keys):
-                return
-            context = keys >> BITS
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            total = np.repeat(np.add.reduceat(counts, at), np.diff(np.append(at, len(keys))))
-            use = total >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(use.sum(), d, np.int8)), pa.array(keys[use]), pa.array(counts[use])], ["depth", "gram", "n"])
+        for batch in batches:
+            if batch.num_rows:
+                keys, counts = _counted(pa.Table.from_batches([batch]))
+                keys, counts = _summed(_low(keys, near), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
+
+    return run
+
+
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, ascending, and how often each occurs."""
+    return _summed(keys >> BITS, counts)
+
+
+def _diverges(keys: np.ndarray, counts: np.ndarray, d: int, up: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each context of d symbols, the divergence of its next symbol from that of its suffix, whose counts are in up."""
+    contexts, total = _totals(keys, counts)
+    up_contexts, up_total = _totals(*up)
+    row = np.searchsorted(contexts, keys >> BITS)
+    p = counts / total[row]
+    q = up[1][np.searchsorted(up[0], _low(keys, d))] / up_total[np.searchsorted(up_contexts, _low(keys >> BITS, d - 1))]
+    return np.bincount(row, p * np.log(p / q), len(contexts))
+
+
+def _grow(depth: int, near: int, short: tuple[np.ndarray, np.ndarray], least: float, divergence: float):
+    """The contexts of near to depth symbols that stay, with their counts, of each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                levels = {depth: _counted(row)}
+                for d in range(depth - 1, near - 1, -1):
+                    levels[d] = _summed(_low(levels[d + 1][0], d + 1), levels[d + 1][1])
+                below = np.zeros(0, np.int64)
+                for d in range(depth, near - 1, -1):
+                    keys, counts = levels[d]
+                    contexts, total = _totals(keys, counts)
+                    stays = (total >= least) & (_diverges(keys, counts, d, levels[d - 1] if d > near else short) >= divergence)
+                    stays[np.searchsorted(contexts, below)] = True
+                    own = stays[np.searchsorted(contexts, keys >> BITS)]
+                    below = np.unique(_low(contexts[stays], d - 1))
+                    if own.any():
+                        yield pa.RecordBatch.from_pydict({"part": batch.column("part").slice(i, 1), "depth": pa.array([d], pa.int32()), "grams": [_pack(_steps(keys[own]))], "counts": [_pack(counts[own])]})
+
+    return run
+
+
+def _suffixes(near: int):
+    """The suffixes of near - 1 symbols of the contexts of near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column("grams").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_low(np.cumsum(_unpack(g)) >> BITS, near - 1)))], ["context"])
 
     return run
 
 
 @dataclass
 class Tree:
-    """Node 0 is the empty context; child[node * SYMBOLS + s] is the node with s before, or -1; bits are -log2 P."""
+    """top[c * SYMBOLS + s] is P(s) after c, near - 1 symbols, by the longest context of no more that stays; nodes has the
+    counts of longer ones by part."""
 
     depth: int
-    child: np.ndarray
-    bits: np.ndarray
-
-    def states(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The node of the longest suffix of what comes before each place."""
-        node = np.zeros(len(at), np.int32)
-        live, now = np.arange(len(at)), node
-        for d in range(1, self.depth + 1):
-            to = self.child[now.astype(np.int64) * SYMBOLS + stream[at[live] - d]]
-            on = to >= 0
-            live, now = live[on], to[on]
-            if not len(live):
-                break
-            node[live] = now
-        return node
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]], divergence: float = DIVERGENCE, prior: float = PRIOR) -> Tree:
-    """levels[d]: grams of d context symbols and the next one, ascending, with their counts."""
-    dense, contexts = [], []
-    for keys, counts in levels:
-        ctx, row = np.unique(keys >> BITS, return_inverse=True)
-        n = np.zeros((len(ctx), SYMBOLS))
-        n[row, keys & (SYMBOLS - 1)] = counts
-        contexts.append(ctx)
-        dense.append(n)
-    parent = [np.zeros(0, np.int64)]
-    stays = [np.ones(len(contexts[0]), bool)]
-    for d in range(1, len(levels)):
-        parent.append(np.searchsorted(contexts[d - 1], contexts[d] & ((1 << BITS * (d - 1)) - 1)))
-        p, q = (x / np.maximum(x.sum(1, keepdims=True), 1) for x in (dense[d], dense[d - 1][parent[d]]))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stays.append(np.where(p > 0, p * np.log(p / q), 0.0).sum(1) >= divergence)
+    near: int
+    parts: int
+    prior: float
+    top: np.ndarray
+    nodes: DataFrame
+
+    @property
+    def bits(self) -> np.ndarray:
+        """-log2 P of top."""
+        return -np.log2(self.top)
+
+
+def _top(levels: list[tuple[np.ndarray, np.ndarray]], below: np.ndarray, least: float, divergence: float, prior: float) -> np.ndarray:
+    """levels[d]: counts of d context symbols and the next one; below are contexts of the last level that stay for longer ones."""
+    stays = [np.zeros(0, bool)] * len(levels)
     for d in range(len(levels) - 1, 0, -1):
-        stays[d - 1][parent[d][stays[d]]] = True
-    total = max(1, sum(int(x.sum()) for x in stays))
-    child = np.full(total * SYMBOLS, -1, np.int32)
-    prob = np.full((total, SYMBOLS), 1 / SYMBOLS)
-    number, done = [], 0
-    for d, n in enumerate(dense):
-        own = np.full(len(n), -1)
-        own[stays[d]] = done + np.arange(stays[d].sum())
-        done += int(stays[d].sum())
-        number.append(own)
-        at = np.flatnonzero(stays[d])
-        if not len(at):
-            continue
-        below = prob[number[d - 1][parent[d][at]]] if d else 1 / SYMBOLS
-        prob[own[at]] = (n[at] + prior * below) / (n[at].sum(1, keepdims=True) + prior)
-        if d:
-            child[number[d - 1][parent[d][at]] * SYMBOLS + (contexts[d][at] >> BITS * (d - 1))] = own[at]
-    return Tree(len(levels) - 1, child, -np.log2(prob).astype(np.float32).ravel())
-
-
-def train(docs: DataFrame, depth: int = DEPTH, share: float = MIN_SHARE, divergence: float = DIVERGENCE, prior: float = PRIOR) -> Tree:
-    """The tree of all documents. At most depth / share contexts reach the driver, at any size of the corpus."""
-    tuned(docs.sparkSession)
-    grams = docs.select(docs["text"].cast("string").alias("text")).where("text <> ''").mapInArrow(_count(depth), "gram long, n long")
-    grams = materialise(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    short = grams.groupBy(F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
-    pairs = short["gram"].to_numpy(), short["n"].to_numpy()
-    least = max(1.0, share * pairs[1].sum())
-    levels = [_summed(pairs[0] & (SYMBOLS - 1), pairs[1]), pairs]
-    near = F.shiftright(F.col("gram"), BITS).bitwiseAND((1 << 2 * BITS) - 1)
-    found = grams.repartition(near).mapInArrow(_frequent(depth, least, 2), "depth byte, gram long, n long").toArrow()
-    for d in range(2, depth + 1):
-        own = found.filter(pc.equal(found["depth"], d))
-        levels.append(_summed(own["gram"].to_numpy(), own["n"].to_numpy()))
-    return build(levels, divergence, prior)
+        contexts, total = _totals(*levels[d])
+        stays[d] = ((total >= least) | (d == 1)) & (_diverges(*levels[d], d, levels[d - 1]) >= divergence)
+        stays[d][np.searchsorted(contexts, below)] = True
+        below = np.unique(_low(contexts[stays[d]], d - 1))
+    top = np.full((1, SYMBOLS), 1 / SYMBOLS)
+    for d, (keys, counts) in enumerate(levels):
+        n = np.zeros((SYMBOLS**d, SYMBOLS))
+        n.ravel()[keys] = counts
+        up = top[np.arange(SYMBOLS**d) & (len(top) - 1)]
+        use = np.zeros(len(n), bool)
+        use[_totals(keys, counts)[0][stays[d]] if d else 0] = True
+        top = np.where(use[:, None], (n + prior * up) / (n.sum(1, keepdims=True) + prior), up)
+    return top.ravel()
+
+
+def train(docs: DataFrame, depth: int = DEPTH, share: float | None = None, divergence: float = DIVERGENCE, prior: float = PRIOR, least: int = LEAST) -> Tree:
+    """The tree of all documents, with the contexts that occur `least` times; where a share of all positions is given,
+    that counts instead."""
+    spark = tuned(docs.sparkSession)
+    parts, near = int(spark.conf.get("spark.sql.shuffle.partitions")), min(NEAR, depth)
+    kept = "part int, grams binary, counts binary"
+    runs = docs.select(docs["text"].cast("string").alias("text")).where("text <> ''").mapInArrow(_count(depth, near, parts), kept)
+    runs = materialise(runs.groupBy("part").applyInArrow(_sum, kept), "grams")
+    short = runs.mapInArrow(_shortened(near), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    levels = [(short["gram"].to_numpy(), short["n"].to_numpy())]
+    for d in range(near - 2, -1, -1):
+        levels.insert(0, _summed(_low(levels[0][0], d + 1), levels[0][1]))
+    bound = float(least) if share is None else max(1.0, share * levels[0][1].sum())
+    nodes = materialise(runs.mapInArrow(_grow(depth, near, levels[-1], bound, divergence), "part int, depth int, grams binary, counts binary"), "nodes")
+    below = nodes.where(F.col("depth") == near).mapInArrow(_suffixes(near), "context long").distinct().toArrow()["context"].to_numpy()
+    return Tree(depth, near, parts, prior, _top(levels, np.sort(below), bound, divergence, prior), nodes)
+
+
+def _distinct(column: pa.ChunkedArray, depth: int) -> np.ndarray:
+    held, size = [np.zeros(0, np.int64)], 0
+    for _, stream, begin in symbols(column, depth):
+        held.append(np.unique(_grams(stream, begin, depth)))
+        size += len(held[-1])
+        if size > 4_000_000:
+            held = [np.unique(np.concatenate(held))]
+            size = 0
+    return np.unique(np.concatenate(held))
+
+
+def _ask(depth: int, near: int, parts: int):
+    def run(table: pa.Table) -> pa.Table:
+        grams = _distinct(table["text"], depth)
+        asked = [(k, _pack(_steps(grams[own]))) for k, own in _by_part(grams, near, parts)]
+        return pa.table({"own": pa.array([table["own"][0].as_py()] * len(asked), pa.int32()), "part": pa.array([k for k, _ in asked], pa.int32()), "grams": pa.array([g for _, g in asked], pa.binary())})
+
+    return run
+
+
+def _answer(depth: int, near: int, prior: float, sent):
+    """Bits of the grams that are asked of a part, from its contexts."""
+
+    def run(asked: pa.Table, nodes: pa.Table) -> pa.Table:
+        levels = {d: _counted(nodes.filter(pc.equal(nodes["depth"], d))) for d in set(nodes["depth"].to_pylist())}
+        totals = {d: _totals(*x) for d, x in levels.items()}
+        out = []
+        for g in asked["grams"].to_pylist():
+            grams = np.cumsum(_unpack(g))
+            p = sent.value[_low(grams, near)]
+            live = np.arange(len(grams))
+            for d in range(near, depth + 1):
+                if d not in levels or not len(live):
+                    break
+                (keys, counts), (contexts, total) = levels[d], totals[d]
+                key = _low(grams[live], d + 1)
+                at = np.minimum(np.searchsorted(contexts, key >> BITS), len(contexts) - 1)
+                on = contexts[at] == key >> BITS
+                live, key, at = live[on], key[on], at[on]
+                has = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                p[live] = (np.where(keys[has] == key, counts[has], 0) + prior * p[live]) / (total[at] + prior)
+            out.append((-np.log2(p)).astype(np.float32).tobytes())
+        return pa.table({"own": asked["own"], "part": asked["part"], "bits": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _score(depth: int, near: int, parts: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        held, sizes = [], []
+        for _, stream, begin in symbols(docs["text"], depth):
+            u, at = np.unique(_grams(stream, begin, depth), return_inverse=True)
+            held.append((u, at.astype(np.int32)))
+            sizes.append(np.diff(begin) - depth)
+        grams = np.zeros(0, np.int64)
+        for low in range(0, len(held), 16):
+            grams = np.unique(np.concatenate([grams, *(u for u, _ in held[low : low + 16])]))
+        got = dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist()))
+        bits = np.zeros(len(grams), np.float32)
+        for k, own in _by_part(grams, near, parts):
+            bits[own] = np.frombuffer(got[k], np.float32)
+        sums = []
+        for (u, at), n in zip(held, sizes):
+            each = bits[np.searchsorted(grams, u)][at]
+            sums.append(np.where(n > 0, np.add.reduceat(each, np.cumsum(n + 1) - n - 1, dtype=np.float64), 0.0))
+        n, total = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0), *sums])
+        return pa.table({"doc_id": docs["doc_id"], "n_symbols": pa.array(n), "bits": pa.array(total), "bits_per_symbol": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    return run
 
 
 def score(docs: DataFrame, tree: Tree) -> DataFrame:
@@ -211,22 +347,10 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
     and trained on one the tree gives every symbol the same probability.
     """
     spark = tuned(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
-        for batch in batches:
-            ids = T.column_of(batch, "doc_id")
-            for first, stream, begin in symbols(T.column_of(batch, "text"), tree.depth):
-                n = np.diff(begin) - tree.depth
-                own = np.ones(len(stream), bool)
-                own[: begin[0]] = False
-                for k in range(1, tree.depth):
-                    own[begin[1:] - tree.depth + k] = False
-                at = np.flatnonzero(own)
-                each = tree.bits[tree.states(stream, at).astype(np.int64) * SYMBOLS + stream[at]]
-                bits = np.where(n > 0, np.add.reduceat(each, np.cumsum(n + 1) - n - 1, dtype=np.float64), 0.0)
-                mean = pa.array(bits / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), pa.array(n), pa.array(bits), mean], ["doc_id", "n_symbols", "bits", "bits_per_symbol"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_symbols long, bits double, bits_per_symbol double")
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    asked = rows.groupBy("own").applyInArrow(_ask(tree.depth, tree.near, tree.parts), "own int, part int, grams binary")
+    answer = _answer(tree.depth, tree.near, tree.prior, spark.sparkContext.broadcast(tree.top))
+    answers = asked.groupBy("part").cogroup(tree.nodes.groupBy("part")).applyInArrow(answer, "own int, part int, bits binary")
+    return rows.groupBy("own").cogroup(answers.groupBy("own")).applyInArrow(_score(tree.depth, tree.near, tree.parts), "doc_id long, n_symbols long, bits double, bits_per_symbol double")

@@ -75,3 +75,13 @@ def test_empty_table_and_extra_columns(spark):
 def test_alphabet():
     got = [x for _, s, b in lm.symbols(pa.array(["A1", None, "é"]), 2) for x in (s.tolist(), b.tolist())]
     assert got == [[0, 0, 1, 27, 0, 0, 0, 0, 59, 43 + (0xA9 & 15), 0, 0], [2, 6, 8, 12]]
+
+
+def test_contexts_stay_when_the_corpus_grows(spark):
+    """A context that occurs LEAST times counts as well among texts that are many times as long."""
+    rare = "tes eht noc tam nat. " * 25
+    kept = []
+    for more in (20, 20_000):
+        docs = spark.createDataFrame([(1, rare)] + [(2 + k, "the cat sat on the mat. " * more) for k in range(4)], SCHEMA)
+        kept.append(next(r.bits_per_symbol for r in lm.score(docs, lm.train(docs)).collect() if r.doc_id == 1))
+    assert kept[1] < kept[0] + 0.3, kept
