@@ -1,15 +1,16 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing, and those that follow each other, are a candidate block. A block is compressed by itself
-and with the wording of each license as a raw zstandard dictionary; the license that saves the most bytes
-ranks first. A winner counts only when the wording is really there: its words and the block's are aligned, and the
-differences are reported.
+The words about each one that speaks of licensing, on whatever lines they are, are looked at in windows of bounded size.
+A window is compressed by itself and with the wording of each license as a raw zstandard dictionary; the license that
+saves the most bytes ranks first. A license counts only when the wording is really there, whatever it saves: its words
+and the window's are aligned, and the differences are reported.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from siftmark.llm import text as T
 from siftmark.llm.shared import tuned
 
-SPEAKS = r"licen[sc]|copyright|public domain|warrant|redistribut|permission|spdx|creative commons|liable|liability"
+SPEAKS = r"licen[sc]|copyright|public\W+domain|warrant|redistribut|permission|spdx|creative\W+commons|liable|liability"
 LEAST_SHARE, MOST_RANKED = 0.85, 4
 LEVEL = 19
 
@@ -52,28 +53,21 @@ def wording(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> list[tuple[int, list[str]]]:
-    """(number of the first line, lines) of each run of lines that speak of licensing."""
-    out: list[tuple[int, list[str]]] = []
-    for k, line in enumerate(text.split("\n")):
-        if re.search(SPEAKS, line, re.I):
-            if out and out[-1][0] + len(out[-1][1]) == k:
-                out[-1][1].append(line)
-            else:
-                out.append((k, [line]))
-    return out
-
-
-def differences(template: list[str], block: list[str]) -> tuple[float, list[str], list[str]]:
-    """(share of the template's words that the block has in order, those missing, words of the block in between).
-    Words before the first and after the last that agree don't belong to the wording."""
+def aligned(template: list[str], block: list[str]) -> tuple[float, list[str], list[str], int, int]:
+    """(share of the template's words that the block has in order, those missing, words of the block in between, first
+    place that agrees, place after the last). Words before the first and after the last don't belong to the wording."""
     same = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not same:
-        return 0.0, template, []
+        return 0.0, template, [], 0, 0
     kept = {i for m in same for i in range(m.a, m.a + m.size)}
     inside = {j for m in same for j in range(m.b, m.b + m.size)}
     low, high = same[0].b, same[-1].b + same[-1].size
-    return len(kept) / len(template), [w for i, w in enumerate(template) if i not in kept], [block[j] for j in range(low, high) if j not in inside]
+    return len(kept) / len(template), [w for i, w in enumerate(template) if i not in kept], [block[j] for j in range(low, high) if j not in inside], low, high
+
+
+def differences(template: list[str], block: list[str]) -> tuple[float, list[str], list[str]]:
+    """The first three of aligned()."""
+    return aligned(template, block)[:3]
 
 
 class Ranker:
@@ -97,32 +91,112 @@ class Ranker:
             self.cache[block] = size, sorted(saved, key=lambda x: (-x[0], -len(self.words[x[1]]), x[1]))
         return self.cache[block]
 
+    def reach(self, least: float) -> int:
+        """Words that a license with its differences can span, at most."""
+        return max((len(w) + _slack(w, least) for w in self.words), default=0)
+
+    def exact(self, block: list[str]) -> tuple[int, int, int] | None:
+        """(template, where it begins, where it ends) of the longest wording that is there to the word; the first place."""
+        joined = f" {' '.join(block)} "
+        best = max((k for k, w in enumerate(self.words) if w and f" {' '.join(w)} " in joined), key=lambda k: (len(self.words[k]), -k), default=None)
+        if best is None:
+            return None
+        low = joined[: joined.index(f" {' '.join(self.words[best])} ") + 1].count(" ") - 1
+        return best, low, low + len(self.words[best])
+
+    def close(self, k: int, block: list[str], least: float) -> tuple | None:
+        """The place where a wording differs least, as aligned() gives it, if that is little enough."""
+        words, slack = self.words[k], _slack(self.words[k], least)
+        own, need = set(words), least * len(words) - 1e-9
+        has = [0]
+        for w in block:
+            has.append(has[-1] + (w in own))
+        best = None
+        if words and has[-1] >= need:
+            span = len(words) + slack
+            for j in range(max(1, len(block) - span + 1)):
+                if has[min(j + span, len(block))] - has[j] >= need:
+                    share, missing, extra, low, high = aligned(words, block[j : j + span])
+                    if share >= least and len(extra) <= slack and (best is None or len(missing) + len(extra) < len(best[1]) + len(best[2])):
+                        best = share, missing, extra, j + low, j + high
+        return best
+
     def found(self, lines: list[str], least: float, ranked: int) -> list[tuple]:
-        """Licenses in a block: the best ranked whose wording is there, then what the rest of the lines holds."""
+        """Licenses in a block: first the longest that are there to the word, then the best ranked that differ, then
+        what the words before and after hold. At the end of each are the places of its first word and after its last."""
         block = [w for line in lines for w in wording(line)]
-        size, saved = self.savings(" ".join(block))
-        confirmed = []
-        for rank, (gain, k) in enumerate(saved):
-            if gain <= 0:
-                break
-            share, missing, extra = differences(self.words[k], block)
-            if share >= least and len(extra) <= (1 - least) * len(self.words[k]) + 0.5:
-                confirmed.append((self.names[k], rank + 1, gain, size, share, " ".join(missing), " ".join(extra)))
-                if not missing and not extra or rank + 1 >= ranked:
+        return self._within(block, 0, len(block), least, ranked, [])
+
+    def _within(self, block: list[str], low: int, high: int, least: float, ranked: int, whole: list) -> list[tuple]:
+        part = block[low:high]
+        if (hit := self.exact(part)) is not None:
+            k, a, b = hit
+            share, missing, extra = 1.0, [], []
+        else:
+            near = {k: x for k in range(len(self.words)) if (x := self.close(k, part, least))}
+            if not near:
+                return []
+            order = [k for _, k in self._ranking(block, whole)[1]]
+            first = [k for k in order[:ranked] if k in near] or [k for k in order if k in near]
+            k = first[0]
+            share, missing, extra, a, b = near[k]
+        size, saved = self._ranking(block, whole)
+        rank, gain = next((i + 1, g) for i, (g, x) in enumerate(saved) if x == k)
+        one = (self.names[k], rank, gain, size, share, " ".join(missing), " ".join(extra), low + a, low + b)
+        return [one, *self._within(block, low, low + a, least, ranked, whole), *self._within(block, low + b, high, least, ranked, whole)]
+
+    def _ranking(self, block: list[str], whole: list) -> tuple[int, list[tuple[int, int]]]:
+        if not whole:
+            whole.append(self.savings(" ".join(block)))
+        return whole[0]
+
+    def licenses(self, text: str, least: float, ranked: int) -> Iterator[tuple]:
+        """(first line, lines, license and what found() gives of it) of all licenses of a text.
+
+        Windows are twice the reach and begin a reach apart. A license that begins in the later half is whole in
+        the next one, so it is left to that.
+        """
+        reach = self.reach(least)
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts, words = [a for a, _ in spans], [text[a:b].lower() for a, b in spans]
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        regions: list[list[int]] = []
+        for m in re.finditer(SPEAKS, text, re.I):
+            at = max(0, bisect_right(starts, m.start()) - 1)
+            low, high = max(0, at - reach), min(len(words), at + reach + 1)
+            if regions and low <= regions[-1][1]:
+                regions[-1][1] = high
+            else:
+                regions.append([low, high])
+        for low, high in regions:
+            done = low
+            for at in range(low, high, reach):
+                last = at + 2 * reach >= high
+                begin, end = max(at, done), min(at + 2 * reach, high)
+                for x in sorted(self._within(words[begin:end], 0, end - begin, least, ranked, []), key=lambda x: x[7]):
+                    a, b = begin + x[7], begin + x[8]
+                    if last or a < at + reach:
+                        line, to = bisect_right(breaks, starts[a]), bisect_right(breaks, starts[b - 1])
+                        yield line, to - line + 1, *x[:7]
+                        done = b
+                if last:
                     break
-        exact = [x for x in confirmed if not x[5] and not x[6]]
-        return exact[:1] or confirmed[:1]
+
+
+def _slack(words: list[str], least: float) -> int:
+    """Words in between that a wording may have."""
+    return int((1 - least) * len(words) + 0.5)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_SHARE, ranked: int = MOST_RANKED) -> DataFrame:
     """(doc_id, line, lines, license, rank, saved, plain_size, share, missing, extra), a row for each license found.
 
-    line is the first line of the block and lines their number. saved is what the license's wording takes off
-    plain_size, the block's compressed size, and rank its place by that. share is the part of the license's words
-    that the block has in their order, `least` or more; missing and extra are the words that differ. Of confirmed
-    licenses the best ranked is given, but an exact one goes before one that differs; ties go to the longer
-    wording. Candidates under the `ranked` best are looked at only until one is confirmed. In a block of several
-    lines each line that is a license by itself is found as well.
+    line is the line on which the license begins and lines the number it spans. saved is what its wording takes off
+    plain_size, the compressed size of the window it is in, and rank its place by that; neither decides whether it is
+    found. share is the part of the license's words that are there in their order, `least` or more; missing and extra
+    are the words that differ. Where several wordings fit the same words an exact one goes before one that differs, and
+    of exact ones the longest; of others the best ranked is given, one under the `ranked` best only where none of
+    these fits.
 
     Null, empty and other texts without a candidate line give no row. Rows with a null doc_id and repeated rows
     are each scanned. Columns other than doc_id and text are not read. An empty table gives an empty result.
@@ -135,18 +209,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         for batch in batches:
             rows = []
             for i, text in zip(T.column_of(batch, "doc_id").to_pylist(), T.column_of(batch, "text").to_pylist()):
-                for first, lines in blocks(text):
-                    for low, part in [(0, lines)] if len(lines) == 1 else [(0, lines), *((k, [x]) for k, x in enumerate(lines))]:
-                        rows += [(i, first + low, len(part), *x) for x in ranker.found(part, least, ranked)]
-            rows = _inner(rows)
+                rows += [(i, *x) for x in ranker.licenses(text, least, ranked)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string()))], ["doc_id", "line", "lines", "license", "rank", "saved", "plain_size", "share", "missing", "extra"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.where(F.col("text").rlike(f"(?i){SPEAKS}")).mapInArrow(run, SCHEMA)
-
-
-def _inner(rows: list[tuple]) -> list[tuple]:
-    """Without blocks of several lines whose license one of their lines also has by itself."""
-    single = {(r[0], r[1], r[3]) for r in rows if r[2] == 1}
-    return [r for r in rows if r[2] == 1 or not any((r[0], r[1] + k, r[3]) in single for k in range(r[2]))]

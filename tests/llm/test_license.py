@@ -54,3 +54,13 @@ def test_nulls_long_texts_repeats_and_nothing(spark):
     assert scan(spark, []) == []
     docs = spark.createDataFrame([(1, mit, 3, "x")], "doc_id long, text string, line int, license string")
     assert L.scan(docs).first().license == "MIT"
+
+
+def test_license_inside_a_long_line(spark):
+    r = random.Random(2)
+    rows = []
+    for k, t in enumerate(L.TEMPLATES.values()):
+        w = [r.choice(["alpha", "beta", "gamma", "delta", "über"]) + str(r.randint(0, 5000)) for _ in range(3000)]
+        rows.append((k, " ".join(w[:1500] + [t] + w[1500:])))
+    got = scan(spark, rows)
+    assert sorted((r.doc_id, r.license, r.missing, r.extra) for r in got) == [(k, name, "", "") for k, name in enumerate(L.TEMPLATES)]
