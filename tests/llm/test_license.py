@@ -64,3 +64,13 @@ def test_license_inside_a_long_line(spark):
         rows.append((k, " ".join(w[:1500] + [t] + w[1500:])))
     got = scan(spark, rows)
     assert sorted((r.doc_id, r.license, r.missing, r.extra) for r in got) == [(k, name, "", "") for k, name in enumerate(L.TEMPLATES)]
+
+
+def test_license_wrapped_over_lines(spark):
+    for width in (3, 6, 10):
+        rows = []
+        for k, t in enumerate(L.TEMPLATES.values()):
+            w = t.split()
+            rows.append((k, "\n".join(["intro", *(" ".join(w[i : i + width]) for i in range(0, len(w), width)), "outro"])))
+        got = scan(spark, rows)
+        assert sorted((r.doc_id, r.license, r.line, r.missing, r.extra) for r in got) == [(k, name, 1, "", "") for k, name in enumerate(L.TEMPLATES)]
