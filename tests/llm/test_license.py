@@ -74,3 +74,16 @@ def test_license_wrapped_over_lines(spark):
             rows.append((k, "\n".join(["intro", *(" ".join(w[i : i + width]) for i in range(0, len(w), width)), "outro"])))
         got = scan(spark, rows)
         assert sorted((r.doc_id, r.license, r.line, r.missing, r.extra) for r in got) == [(k, name, 1, "", "") for k, name in enumerate(L.TEMPLATES)]
+
+
+def test_all_licenses_of_a_block(spark):
+    notice = L.TEMPLATES["MIT-permission"].split()
+    isc = L.TEMPLATES["ISC"].split()
+    rows = [
+        (1, "Released under the MIT License. Licensed under CC BY 4.0."),
+        (2, "\n".join([" ".join(notice[:12]), " ".join(notice[12:]), " ".join(isc[:9]), " ".join(isc[9:])])),
+        (3, " ".join(L.TEMPLATES.values())),
+    ]
+    got = scan(spark, rows)
+    assert sorted((r.doc_id, r.line, r.lines, r.license) for r in got if r.doc_id < 3) == [(1, 0, 1, "CC-BY-4.0"), (1, 0, 1, "MIT"), (2, 0, 2, "MIT-permission"), (2, 2, 2, "ISC")]
+    assert sorted(r.license for r in got if r.doc_id == 3) == sorted(L.TEMPLATES)
