@@ -87,3 +87,10 @@ def test_all_licenses_of_a_block(spark):
     got = scan(spark, rows)
     assert sorted((r.doc_id, r.line, r.lines, r.license) for r in got if r.doc_id < 3) == [(1, 0, 1, "CC-BY-4.0"), (1, 0, 1, "MIT"), (2, 0, 2, "MIT-permission"), (2, 2, 2, "ISC")]
     assert sorted(r.license for r in got if r.doc_id == 3) == sorted(L.TEMPLATES)
+
+
+def test_documents_of_one_id_are_told_apart(spark):
+    w = L.TEMPLATES["BSD-redistribution"]
+    a, b = w[:60], w[60:]
+    docs = spark.createDataFrame([(None, a + "warranty \n" + b), (None, "x\n" + w), (7, a + "warranty \n" + b), (7, "x\n" + w)], SCHEMA).coalesce(1)
+    assert sorted((str(r.doc_id), r.line, r.lines) for r in L.scan(docs).collect()) == [("7", 0, 2), ("7", 1, 1), ("None", 0, 2), ("None", 1, 1)]
