@@ -22,7 +22,8 @@ from siftmark.llm.shared import tuned
 BITS, RANK, WORD_VALUE = 18, 8, 0.3
 TRAIN_ROWS = 20_000
 EPOCHS, BATCH, RATE, DECAY = 4, 128, 0.1, 1e-6
-LEAST_TEXTS = 10  # words of fewer labelled texts only tell these apart
+STEPS = 100  # at least, as a small table has few in EPOCHS
+DOUBT = 5.0  # a word of n labelled texts counts n / (n + DOUBT): few texts say little, but not nothing
 LEAST_QUALITY, MOST_TOXIC = 0.5, 0.2  # toxic texts are rare, so a fifth is suspicion enough
 HEADS = ("quality", "toxic")
 _STATISTICS = 10
@@ -101,23 +102,26 @@ class Machine:
         return self.bias + sums[:, :, 0] + 0.5 * (sums[:, :, 1:] ** 2 - squares[:, :, 1:]).sum(2)
 
 
-def fit(bucket: np.ndarray, value: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 3) -> Machine:
-    """Adagrad on the logistic loss of all heads at once; labels are [texts, heads], negative where unknown."""
+def fit(bucket: np.ndarray, value: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 3, weights: np.ndarray | None = None) -> Machine:
+    """Adagrad on the logistic loss of all heads at once; labels are [texts, heads], negative where unknown, and weights
+    say how many texts each one stands for."""
     heads, width = labels.shape[1], 1 + RANK
     r = np.random.default_rng(seed)
     table = r.normal(0, 0.02, (1 << BITS, heads * width)).astype(np.float32)
     table[:, ::width] = 0
-    rare = np.bincount(bucket, minlength=1 << BITS) < LEAST_TEXTS
-    table[rare] = 0
-    value = np.where(rare[bucket], np.float32(0), value)
+    texts = np.bincount(bucket, minlength=1 << BITS)
+    trust = (texts / (texts + DOUBT)).astype(np.float32)
+    value = value * trust[bucket]
     known = labels >= 0
-    rate = (np.where(known, labels, 0).sum(0) + 1) / (known.sum(0) + 2)
+    weights = np.ones(len(labels)) if weights is None else weights / weights.mean()
+    rate = ((np.where(known, labels, 0) * weights[:, None]).sum(0) + 1) / ((known * weights[:, None]).sum(0) + 2)
     machine = Machine(np.log(rate / (1 - rate)), table)
     seen, seen_bias = np.full_like(table, 1e-3), np.full(heads, 1e-3)
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(labels)))
+    for epoch in range(epochs):
         order = r.permutation(len(labels))
         for low in range(0, len(order), BATCH):
-            speed = RATE * (1 - (epoch + low / len(order)) / EPOCHS)
+            speed = RATE * (1 - (epoch + low / len(order)) / epochs)
             pick = order[low : low + BATCH]
             size = np.diff(bounds)[pick]
             take = np.repeat(bounds[pick] - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -128,7 +132,7 @@ def fit(bucket: np.ndarray, value: np.ndarray, bounds: np.ndarray, labels: np.nd
             sums = np.add.reduceat(rows, at).reshape(len(pick), heads, width)
             squares = np.add.reduceat(rows * rows, at).reshape(sums.shape)
             logit = machine.bias + sums[:, :, 0] + 0.5 * (sums[:, :, 1:] ** 2 - squares[:, :, 1:]).sum(2)
-            error = np.where(known[pick], 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[pick], 0)
+            error = np.where(known[pick], 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[pick], 0) * weights[pick][:, None]
             slope = sums.copy()
             slope[:, :, 0] = 1
             g = (slope[own] - rows.reshape(-1, heads, width) * (np.arange(width) > 0)) * (error[own] / len(pick))[:, :, None]
@@ -142,6 +146,7 @@ def fit(bucket: np.ndarray, value: np.ndarray, bounds: np.ndarray, labels: np.nd
             e = error.mean(0)
             seen_bias += e * e
             machine.bias -= speed * e / np.sqrt(seen_bias)
+    table *= trust[:, None]
     return machine
 
 
@@ -151,12 +156,20 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """A machine fitted to at most `rows` labels, those of least hash; all labels where there are fewer. Labels of
-    other values than 0 and 1 are unknown. None where no label has a document."""
+    """A machine fitted to at most `rows` labels; all labels where there are fewer. Else toxic ones fill up to half of
+    them and the others the rest, those of least hash each, weighted by how many they stand for. Labels of other values than
+    0 and 1 are unknown. None where no label has a document."""
     tuned(docs.sparkSession)
     flag = lambda c: F.when(labels[c].isin(0, 1), labels[c].cast("int")).otherwise(-1).alias(c)
     own = labels.where(labels["doc_id"].isNotNull()).select(labels["doc_id"].cast("long").alias("doc_id"), *map(flag, HEADS))
-    own = own.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", *HEADS).limit(rows)
+    is_toxic = F.col("toxic") == 1
+    there = own.agg(F.count("*").alias("n"), F.count(F.when(is_toxic, 1)).alias("toxic")).first()
+    others, share = there["n"] - there["toxic"], (1.0, 1.0)
+    if there["n"] > rows:
+        some = min(there["toxic"], max(rows // 2, rows - others))
+        share = there["toxic"] / max(some, 1), others / max(rows - some, 1)
+        drawn = [own.where(c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", *HEADS).limit(k) for c, k in ((is_toxic, some), (~is_toxic, rows - some))]
+        own = drawn[0].unionAll(drawn[1])
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_columns(docs)).join(F.broadcast(own), "doc_id")  # of `rows` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     got = got.sort_by([("doc_id", "ascending"), *((c, "ascending") for c in HEADS)]).combine_chunks()
     bounds = np.append(0, np.cumsum(pc.list_value_length(got["bucket"]).to_numpy()))
     bucket, value = (pc.list_flatten(got[c]).to_numpy() for c in ("bucket", "value"))
-    return fit(bucket, value, bounds, np.stack([got[c].to_numpy() for c in HEADS], 1))
+    flags = np.stack([got[c].to_numpy() for c in HEADS], 1)
+    return fit(bucket, value, bounds, flags, weights=np.where(flags[:, 1] == 1, *share))
 
 
 def classify(docs: DataFrame, machine: Machine | None, least: float = LEAST_QUALITY, most: float = MOST_TOXIC) -> DataFrame:

@@ -48,3 +48,17 @@ def test_at_most_so_many_labels(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     a, b = (Q.train(docs.repartition(n), labels.repartition(n), rows=20) for n in (1, 3))
     assert (a.table == b.table).all() and (a.bias == b.bias).all()
+
+
+def test_rare_words_count(spark):
+    """An insult of four labelled texts raises toxicity."""
+    r = np.random.default_rng(4)
+    plain = [" ".join(r.choice(["one", "two", "three", "four", "five", "six"], 8)) for _ in range(202)]
+    rows = [(i, t + " blockhead" * (i < 4 or i == 201), "en", "s") for i, t in enumerate(plain[:201] + [plain[200]])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.toxic for x in Q.classify(docs, Q.train(docs, labels)).collect()}
+    assert got[201] > 1.5 * got[200], (got[200], got[201])
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(200)], "doc_id long, quality int, toxic int")
+    few = {x.doc_id: x.toxic for x in Q.classify(docs, Q.train(docs, labels, rows=40)).collect()}
+    assert few[201] > 1.5 * few[200] and few[200] < 0.2, (few[200], few[201])
