@@ -1,16 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is sharded by document: each Arrow batch of training documents becomes a shard that stores, for every term
-of the tests, the ascending positions of its tokens. Nothing of the corpus is shuffled. The tests, whose number of
-words is checked, are sent to all shards; beyond a bound they go in several rounds.
+The index is a table in the shared folder, sharded by document. A shard holds some documents of about SHARD tokens
+together: all their terms, how often each occurs, and the ascending positions of its tokens. It is written once, nothing
+of the corpus is shuffled, and all that comes after reads the index and not the texts. The frequencies of the tests' terms
+are summed over all shards first, so what is rarest is so in the whole corpus.
 
 Phrases. Each run of `n` words of a test (the whole test where it is shorter) is a phrase query. It starts from the
 shard's postings of its rarest term, moved by that term's offset, and is intersected with the moved postings of the
-next rarest, until all terms have agreed or no position is left. All queries of a round are worked off together.
+next rarest, until all terms have agreed or no position is left. All queries are worked off together.
 
 Proximity. A test with t different terms also matches where some window of slack * length tokens holds a share of
 `share` of them, in any order. Such a window must hold one of the rarest t - ceil(share * t) + 1 terms, so only
-windows about the postings of those are looked at.
+windows about the postings of those are looked at, those of all tests together.
 """
 
 from __future__ import annotations
@@ -20,15 +21,63 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import tuned
+from siftmark.llm.shared import fresh, identity, materialise, named, tuned
 
 N, SHARE, SLACK = 8, 0.8, 1.5
-ROUND_WORDS = 1_000_000
+ROUND_WORDS = 1_000_000  # words of tests that are sent to the shards at once; more take several rounds over the index
+SHARD = 1_000_000
 SCHEMA = "doc_id long, item_id long, phrases int, first_pos int, near_terms int, match string"
+_INDEX = "ids binary, hs binary, starts binary, terms binary, counts binary, postings binary"
+_POS = np.int64((1 << 40) - 1)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of numbers, like places together."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unpack(x: bytes, kind: type = np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _shards(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        total = 0
+
+        def shard() -> pa.RecordBatch:
+            ids, hs, n, words = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(words, kind="stable")
+            terms = words[order]
+            new = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, np.int64)
+            steps = np.diff(order, prepend=0)
+            steps[new] = order[new]  # the first posting of a term is a position, the others are steps
+            columns = [ids, hs, np.cumsum(n) - n, terms[new].view(np.int64), np.diff(np.append(new, len(terms))), steps]
+            return pa.RecordBatch.from_arrays([pa.array([_pack(x)], pa.binary()) for x in columns], [c.split()[0] for c in _INDEX.split(", ")])
+
+        for batch in batches:
+            ids, hs = (T.column_of(batch, c).to_numpy() for c in ("id", "h"))
+            for w in T.words(T.column_of(batch, "text")):
+                held.append((ids[w.first : w.first + w.texts], hs[w.first : w.first + w.texts], np.diff(w.bounds), w.hashes))
+                total += len(w.hashes)
+                if total >= size:
+                    yield shard()
+                    held, total = [], 0
+        if held:
+            yield shard()
+
+    return run
+
+
+def index(docs: DataFrame, size: int = SHARD) -> DataFrame:
+    """The positional index of docs, a row for each shard, written to the shared folder."""
+    return materialise(docs.select(identity(docs)).mapInArrow(_shards(size), _INDEX), "index")
 
 
 @dataclass
@@ -36,227 +85,266 @@ class Tests:
     """Terms of the tests by rank of their hash, phrase queries over them, and each test's set of terms."""
 
     vocabulary: np.ndarray
-    items: np.ndarray
+    items: pa.Array
     phrases: list[tuple[np.ndarray, np.ndarray]]  # by length: (item of each, [queries, length] of terms)
-    terms: list[np.ndarray]
-    lengths: list[int]
-
-
-def prepare(items: list[tuple[int, np.ndarray]], n: int) -> Tests:
-    vocabulary, code = np.unique(np.concatenate([w for _, w in items]), return_inverse=True)
-    by: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    terms, lengths, done = [], [], 0
-    for k, (_, w) in enumerate(items):
-        own, done = code[done : done + len(w)], done + len(w)
-        size = min(n, len(w))
-        rows = np.unique(np.lib.stride_tricks.sliding_window_view(own, size), axis=0)
-        by.setdefault(size, ([], []))
-        by[size][0].extend([k] * len(rows))
-        by[size][1].append(rows)
-        terms.append(np.unique(own))
-        lengths.append(len(w))
-    return Tests(vocabulary, np.array([i for i, _ in items]), [(np.array(a), np.concatenate(b)) for a, b in by.values()], terms, lengths)
+    terms: np.ndarray  # of all items, one after the other
+    bounds: np.ndarray
+    lengths: np.ndarray
+    df: np.ndarray | None = None  # of each term in the whole corpus
+
+    def least(self, share: float) -> np.ndarray:
+        return np.ceil(share * np.diff(self.bounds) - 1e-9).astype(np.int64)
+
+    def seeds(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(item, term) of the rarest terms of each test, of which a window with `share` of its terms must have one."""
+        item = np.repeat(np.arange(len(self.lengths)), np.diff(self.bounds))
+        order = np.lexsort((self.terms, self.df[self.terms], item))
+        rank = np.arange(len(item)) - self.bounds[:-1][item]
+        keep = rank < (np.diff(self.bounds) - self.least(share) + 1)[item]
+        return item[keep], self.terms[order][keep]
+
+
+def prepare(ids: pa.Array, w: T.Words, n: int) -> Tests:
+    """Of tests with one word or more."""
+    vocabulary, code = np.unique(w.hashes, return_inverse=True)
+    lengths = np.diff(w.bounds)
+    phrases = []
+    for size in np.unique(np.minimum(lengths, n)).tolist():
+        start = np.flatnonzero(T.within(w.bounds, size, len(code)))
+        item = np.searchsorted(w.bounds, start, "right") - 1
+        own = np.minimum(lengths[item], n) == size
+        rows = np.unique(np.column_stack((item[own], code[start[own, None] + np.arange(size)])), axis=0)
+        phrases.append((rows[:, 0].copy(), rows[:, 1:].astype(np.int32)))
+    pairs = np.unique(w.text_of() * len(vocabulary) + code)
+    return Tests(vocabulary, ids, phrases, pairs % len(vocabulary), np.searchsorted(pairs // len(vocabulary), np.arange(len(lengths) + 1)), lengths)
 
 
 class Shard:
-    """Positional index of the terms of the tests in a batch of documents."""
-
-    def __init__(self, column: pa.Array, tests: Tests, gap: int):
-        """Positions count tokens through the batch, with `gap` free ones between texts."""
-        v = tests.vocabulary
-        term, at, self.starts, total = [], [], [], 0
-        table = np.zeros(1 << 20, bool)
-        table[(v >> np.uint64(44)).astype(np.int64)] = True
-        for w in T.words(column):
-            text = w.text_of()
-            self.starts.append(total + w.bounds[:-1] + gap * np.arange(w.texts))
-            maybe = np.flatnonzero(table[(w.hashes >> np.uint64(44)).astype(np.int64)])
-            h = w.hashes[maybe]
-            rank = np.searchsorted(v, h)
-            rank[rank == len(v)] = 0
-            is_term = v[rank] == h
-            maybe = maybe[is_term]
-            term.append(rank[is_term])
-            at.append(total + maybe + gap * text[maybe])
-            total += len(w.hashes) + gap * w.texts
-        self.starts = np.concatenate(self.starts) if self.starts else np.zeros(0, np.int64)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.term = np.concatenate(term) if term else np.zeros(0, np.int64)
-        order = np.argsort(self.term.astype(np.uint16) if len(v) < 1 << 16 else self.term, kind="stable")
-        self.keys = (self.term[order].astype(np.int64) << 40) | self.at[order]  # the postings, term by term
-        self.bounds = np.searchsorted(self.term[order], np.arange(len(v) + 1))
-        self.df = np.diff(self.bounds)
+    """The postings that a shard has of the terms of the tests."""
+
+    def __init__(self, row: dict, tests: Tests, gap: int):
+        """Positions count the shard's tokens, with `gap` free ones between texts."""
+        terms, counts = _unpack(row["terms"], np.uint64), _unpack(row["counts"])
+        self.first = _unpack(row["starts"])
+        self.starts = self.first + gap * np.arange(len(self.first))
+        rank = np.searchsorted(tests.vocabulary, terms)
+        rank[rank == len(tests.vocabulary)] = 0
+        mine = np.flatnonzero(tests.vocabulary[rank] == terms)
+        self.df = np.zeros(len(tests.vocabulary), np.int64)
+        self.df[rank[mine]] = counts[mine]
+        self.bounds = np.append(0, np.cumsum(self.df))
+        steps = _unpack(row["postings"])
+        begin = (np.cumsum(counts) - counts)[mine]
+        n = counts[mine]
+        at = np.cumsum(steps[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        at -= np.repeat(np.append(0, at[np.cumsum(n)[:-1] - 1]) if len(n) else n, n)
+        at += gap * (np.searchsorted(self.first, at, "right") - 1)
+        self.keys = (np.repeat(rank[mine].astype(np.int64), n) << 40) | at  # term by term, as ranks go with hashes
 
     def text_at(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, position, "right") - 1
 
-    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
-        """Whether the postings of each term have its position."""
-        key = (term.astype(np.int64) << 40) | position
-        i = np.searchsorted(self.keys, key)
-        i[i == len(self.keys)] = 0
-        return (self.keys[i] == key) & (position >= 0) if len(self.keys) else np.zeros(len(key), bool)
-
     def postings(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into term, position) of all postings of each term."""
         n = self.df[term]
         which = np.repeat(np.arange(len(term)), n)
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return which, self.keys[self.bounds[term][which] + within] & ((1 << 40) - 1)
+        return which, self.keys[self.bounds[term][which] + within] & _POS
 
-    def phrases(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, queries: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, position of its first word) of all occurrences."""
-        rows = np.arange(len(queries))
-        rarest = np.argsort(self.df[queries], axis=1, kind="stable")  # offsets, the rarest term's first
-        live = rows[self.df[queries].min(1) > 0]
-        which, position = self.postings(queries[live, rarest[live, 0]])
-        query = live[which]
+        live = np.flatnonzero(self.df[queries].min(1) > 0)
+        terms = queries[live]
+        rarest = np.argsort(df[terms], axis=1, kind="stable")  # offsets, the rarest term's first
+        query, position = self.postings(terms[np.arange(len(live)), rarest[:, 0]])
         start = position - rarest[query, 0]
         for k in range(1, queries.shape[1]):
             offset = rarest[query, k]
-            ok = self.holds(queries[query, offset], start + offset)
+            key = (terms[query, offset].astype(np.int64) << 40) | np.maximum(start + offset, 0)
+            i = np.searchsorted(self.keys, key)
+            i[i == len(self.keys)] = 0
+            ok = (self.keys[i] == key) & (start >= 0) if len(self.keys) else np.zeros(len(key), bool)
             query, start = query[ok], start[ok]
-        return query, start
-
-    def near(self, terms: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, most different terms in a window of `span` tokens) of the texts where that is `least` or more."""
-        df = self.df[terms]
-        if (df > 0).sum() < least:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seeds = terms[np.argsort(df, kind="stable")[: len(terms) - least + 1]]
-        _, seed = self.postings(seeds)
-        which, every = self.postings(terms)
-        order = np.argsort(every)
-        every, which = every[order], which[order]
-        seed = np.unique(seed)
-        low, high = np.searchsorted(every, seed - span + 1), np.searchsorted(every, seed + span)
-        texts, most = [], []
-        seed, low, high = (x[high - low >= least] for x in (seed, low, high))
-        last_end = -1
-        for a, b in zip(low.tolist(), high.tolist()):  # the few places with enough tokens of the test about a seed
-            a = max(a, last_end)
-            if b <= a:
+        return live[query], start
+
+    def near(self, tests: Tests, seeds: tuple[np.ndarray, np.ndarray], least: np.ndarray, span: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, text, most different terms in a window of its span) where that is the item's least or more."""
+        which, at = self.postings(seeds[1])
+        item = seeds[0][which]
+        size = np.diff(tests.bounds)
+        ends = np.cumsum(size[item])
+        done = 0
+        while done < len(item):  # about `most` look-ups at a time
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
+            own, p = item[done:stop], at[done:stop]
+            done = stop
+            n = size[own]
+            seed = np.repeat(np.arange(len(own)), n)
+            term = tests.terms[np.arange(n.sum()) + np.repeat(tests.bounds[own] - np.cumsum(n) + n, n)]
+            low = np.searchsorted(self.keys, (term << 40) | np.maximum(p - span[own] + 1, 0)[seed])
+            high = np.searchsorted(self.keys, (term << 40) | (p + span[own])[seed])
+            there = np.bincount(seed[high > low], minlength=len(own)) >= least[own]
+            live = np.flatnonzero(there[seed] & (high > low))
+            if not len(live):
                 continue
-            # windows that begin at every token of [a, b)
-            last_end = b
-            lo = max(0, int(np.searchsorted(every, every[a] - span + 1)))
-            count: dict[int, int] = {}
-            left = lo
-            best: dict[int, int] = {}
-            for right in range(lo, b):
-                t = int(which[right])
-                count[t] = count.get(t, 0) + 1
-                while every[right] - every[left] >= span:
-                    u = int(which[left])
-                    count[u] -= 1
-                    if not count[u]:
-                        del count[u]
-                    left += 1
-                if len(count) >= least:
-                    text = int(self.text_at(every[right : right + 1])[0])
-                    best[text] = max(best.get(text, 0), len(count))
-            texts.extend(best)
-            most.extend(best.values())
-        return np.array(texts, np.int64), np.array(most, np.int64)
-
-
-def search(column: pa.Array, tests: Tests, share: float, slack: float) -> dict[tuple[int, int], list]:
-    """(text, item) -> [phrases found, first position in the text, most terms in a window]."""
-    gap = int(max(tests.lengths) * slack) + 2
-    shard = Shard(column, tests, gap)
-    found: dict[tuple[int, int], list] = {}
+            # the tokens of each place, by position
+            n = (high - low)[live]
+            token = self.keys[np.repeat(low[live] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            place = np.repeat(seed[live], n)
+            order = np.lexsort((token & _POS, place))
+            place, token = place[order], token[order]
+            key = (place << 40) | (token & _POS)
+            first = np.searchsorted(key, key - span[own[place]] + 1)
+            n = np.arange(len(key)) - first + 1
+            last = np.flatnonzero(n >= least[own[place]])  # windows that end here
+            n = n[last]
+            window = np.repeat(np.arange(len(last)), n)
+            terms = token[np.repeat(first[last] - np.cumsum(n) + n, n) + np.arange(n.sum())] >> 40
+            different = np.bincount(np.unique(window * len(tests.vocabulary) + terms) // len(tests.vocabulary), minlength=len(last))
+            enough = different >= least[own[place[last]]]
+            last = last[enough]
+            yield own[place[last]], self.text_at(token[last] & _POS), different[enough]
+
+
+def search(row: dict, tests: Tests, share: float, slack: float) -> pa.Table:
+    """(text, item, phrases, first_pos, near_terms) of the texts of a shard and the tests that match, by text and item."""
+    span = np.ceil(slack * tests.lengths - 1e-9).astype(np.int64)
+    shard = Shard(row, tests, int(max(span.max(), tests.lengths.max())) + 2)
+    k = len(tests.items)
+    found = []
     for item, queries in tests.phrases:
-        query, start = shard.phrases(queries)
+        query, start = shard.phrases(queries, tests.df)
         text = shard.text_at(start)
-        for x, i, q, p in sorted(zip(text.tolist(), item[query].tolist(), query.tolist(), (start - shard.starts[text]).tolist())):
-            hit = found.setdefault((x, i), [set(), p, None])
-            hit[0].add(q)
-            hit[1] = min(hit[1], p)
-    for i, terms in enumerate(tests.terms):
-        least = int(np.ceil(share * len(terms) - 1e-9))
-        for x, most in zip(*shard.near(terms, int(np.ceil(slack * tests.lengths[i] - 1e-9)), least)):
-            hit = found.setdefault((int(x), i), [set(), None, None])
-            hit[2] = max(hit[2] or 0, int(most))
-    return found
+        found.append((text * k + item[query], query, start - shard.starts[text]))
+    key, query, at = (np.concatenate(x) for x in zip(*found))  # an item's queries are all of one length
+    order = np.lexsort((at, query, key))
+    key, query, at = key[order], query[order], at[order]
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    other = new.copy()
+    other[1:] |= query[1:] != query[:-1]
+    pair = np.flatnonzero(new)
+    phrases = np.add.reduceat(other.astype(np.int64), pair) if len(pair) else pair
+    first = np.minimum.reduceat(at, pair) if len(pair) else pair
+    close = [(text * k + item, n) for item, text, n in shard.near(tests, tests.seeds(share), tests.least(share), span)]
+    near, terms = (np.concatenate(x) for x in zip(*close)) if close else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((-terms, near))
+    near, terms = near[order], terms[order]
+    best = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1]))) if len(near) else np.zeros(0, np.int64)
+    near, terms = near[best], terms[best]
+    all_ = np.union1d(key[pair], near)
+    columns = [pa.array(all_ // k), pa.array(all_ % k)]
+    for keys, values in ((key[pair], phrases), (key[pair], first), (near, terms)):
+        where = np.searchsorted(keys, all_)
+        where[where == len(keys)] = 0
+        has = keys[where] == all_ if len(keys) else np.zeros(len(all_), bool)
+        columns.append(pa.array(values[where].astype(np.int32) if len(keys) else np.zeros(len(all_), np.int32), mask=~has))
+    return pa.table(columns, ["text", "item", "phrases", "first_pos", "near_terms"])
 
 
 def rounds(benchmark: DataFrame, n: int, most: int = ROUND_WORDS) -> Iterator[Tests]:
-    """The tests, by item_id, in portions of about `most` words."""
-    rows: list[tuple[int, np.ndarray]] = []
+    """The different tests that have a word, by item_id, in portions of at most about `most` words."""
+    picked = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text <> ''").distinct()
+    ids: list[int | None] = []
+    texts: list[str] = []
     size = 0
-    picked = benchmark.where(benchmark["item_id"].isNotNull()).select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).distinct()
+
+    def portion() -> Iterator[Tests]:
+        column = pa.array(texts, pa.large_string())
+        w = T.words_of_all(column)
+        some = np.flatnonzero(np.diff(w.bounds))
+        if len(some):
+            w.bounds = np.append(w.bounds[some], w.bounds[-1])  # texts without words take no place
+            yield prepare(pa.array(ids, pa.int64()).take(pa.array(some)), w, n)
+
     for row in picked.orderBy("item_id", "text").toLocalIterator(prefetchPartitions=True):
-        w = next(T.words(pa.array([row["text"] or ""], pa.string())), None)
-        if w is None or not len(w.hashes):
-            continue
-        rows.append((row["item_id"], w.hashes))
-        size += len(w.hashes)
+        ids.append(row["item_id"])
+        texts.append(row["text"])
+        size += len(row["text"]) // 6 + 1  # about so many words
         if size >= most:
-            yield prepare(rows, n)
-            rows, size = [], 0
-    if rows:
-        yield prepare(rows, n)
+            yield from portion()
+            ids, texts, size = [], [], 0
+    if texts:
+        yield from portion()
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, slack: float = SLACK, most: int = ROUND_WORDS) -> DataFrame:
-    """(doc_id, item_id, phrases, first_pos, near_terms, match), a row for each document and test that match.
+def _frequencies(shards: DataFrame, tests: Tests) -> np.ndarray:
+    """How often each term of the tests is in the corpus; only the terms and counts of the index are read."""
+    sent = shards.sparkSession.sparkContext.broadcast(tests.vocabulary)
 
-    phrases counts the test's different n-word phrases found, first_pos is the word at which the first begins (null
-    where none does), near_terms is the most of its terms in a window (null if under `share` of them). match is
-    "phrase" if there is a phrase, else "proximity". Tests of no word or a null item_id ask for nothing; two tests
-    of one item_id are asked separately. Null and empty documents match nothing. Rows with a null doc_id and
-    repeated rows are each searched and reported. Other columns are not read.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            for terms, counts in zip(T.column_of(batch, "terms").to_pylist(), T.column_of(batch, "counts").to_pylist()):
+                terms, counts = _unpack(terms, np.uint64), _unpack(counts)
+                at = np.searchsorted(terms, sent.value)
+                at[at == len(terms)] = 0
+                n += np.where(terms[at] == sent.value, counts[at], 0) if len(terms) else 0
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
+
+    got = shards.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(tests.vocabulary), np.int64)
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+_FOUND = "id long, h long, item_id long, phrases int, first_pos int, near_terms int"
+
+
+def found(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, slack: float = SLACK, most: int = ROUND_WORDS, shard: int = SHARD) -> DataFrame:
+    """(id, h, item_id, phrases, first_pos, near_terms) of all rows of docs and tests that match, written to the shared folder."""
     spark = tuned(docs.sparkSession)
-    found = None
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    shards, out = None, spark.createDataFrame([], _FOUND)
     for tests in rounds(benchmark, n, most):
-        part = source.mapInArrow(_searcher(spark.sparkContext.broadcast(tests), share, slack), SCHEMA)
-        found = part if found is None else found.unionAll(part)
-    return spark.createDataFrame([], SCHEMA) if found is None else found
+        shards = index(docs, shard) if shards is None else shards
+        tests.df = _frequencies(shards, tests)
+        out = out.unionAll(materialise(shards.mapInArrow(_searcher(spark.sparkContext.broadcast(tests), share, slack), _FOUND), "found"))
+    return out
 
 
 def _searcher(sent, share: float, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = sent.value
         for batch in batches:
-            found = search(T.column_of(batch, "text"), tests, share, slack)
-            rows = sorted(found)
-            hits = [found[r] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    T.column_of(batch, "doc_id").take(pa.array([x for x, _ in rows], pa.int64())), pa.array([int(tests.items[i]) for _, i in rows], pa.int64()), pa.array([len(h[0]) for h in hits], pa.int32()),
-                    pa.array([h[1] for h in hits], pa.int32()), pa.array([h[2] for h in hits], pa.int32()), pa.array(["phrase" if h[0] else "proximity" for h in hits], pa.string()),
-                ],
-                ["doc_id", "item_id", "phrases", "first_pos", "near_terms", "match"],
-            )
+            for i in range(batch.num_rows):
+                row = {c: T.column_of(batch, c)[i].as_py() for c in batch.schema.names}
+                got = search(row, sent.value, share, slack).combine_chunks()
+                own = [pa.array(_unpack(row[c])).take(got["text"]) for c in ("ids", "hs")]
+                yield from pa.table([*own, sent.value.items.take(got["item"]), *(got[c] for c in ("phrases", "first_pos", "near_terms"))], [c.split()[0] for c in _FOUND.split(", ")]).to_batches()
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, slack: float = SLACK, most: int = ROUND_WORDS) -> DataFrame:
-    """The rows of docs, with all their columns, that match no test in the sense of matches(); nothing is shuffled."""
-    spark = tuned(docs.sparkSession)
-    place = docs.columns.index("text")
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, slack: float = SLACK, most: int = ROUND_WORDS, shard: int = SHARD) -> DataFrame:
+    """(doc_id, item_id, phrases, first_pos, near_terms, match), a row for each document and test that match.
+
+    phrases counts the test's different n-word phrases found, first_pos is the word at which the first begins (null
+    where none does), near_terms is the most of its terms in a window (null if under `share` of them). match is
+    "phrase" if there is a phrase, else "proximity". Tests of no word ask for nothing; one with a null item_id is asked
+    and reported with null; two tests of one item_id are asked separately, and rows repeated in the benchmark once.
+    Null and empty documents match nothing, and very long ones are searched as a whole. Rows with a null doc_id and
+    repeated rows are each searched and reported. Other columns are not read. If either table is empty so is the result.
+    """
+    got = found(docs, benchmark, n, share, slack, most, shard)
+    phrases = F.coalesce("phrases", F.lit(0))
+    return got.select(named(F.col("id"), F.col("h")).alias("doc_id"), "item_id", phrases.alias("phrases"), "first_pos", "near_terms", F.when(phrases > 0, "phrase").otherwise("proximity").alias("match"))
 
-    def dropper(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = sent.value
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[x for x, _ in search(batch.column(place), tests, share, slack)]] = False
-                yield batch.filter(pa.array(keep))
 
-        return run
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = SHARE, slack: float = SLACK, most: int = ROUND_WORDS, shard: int = SHARD) -> DataFrame:
+    """The rows of docs, with all their columns, that match no test in the sense of matches().
 
-    for tests in rounds(benchmark, n, most):
-        docs = docs.mapInArrow(dropper(spark.sparkContext.broadcast(tests)), docs.schema)
-    return docs
+    Null and empty texts stay, and so does everything where the benchmark is empty; an empty table gives an empty
+    result. Names of other columns don't matter. What goes is written first, so the join knows its size: Spark sends it
+    to all tasks up to its threshold and else shuffles.
+    """
+    own_id, own_h = fresh(docs, "_id", "_h")
+    gone = found(docs, benchmark, n, share, slack, most, shard).select(F.col("id").alias(own_id), F.col("h").alias(own_h)).distinct()
+    own = identity(docs)
+    return docs.select("*", own[0].alias(own_id), own[1].alias(own_h)).join(materialise(gone, "gone"), [own_id, own_h], "left_anti").drop(own_id, own_h)
 
 
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS w FROM documents),
-b AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE item_id IS NOT NULL),
+b AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
 q AS (SELECT DISTINCT i, len(w[k:k+{N - 1}]) AS n, array_to_string(w[k:k+{N - 1}], ' ') AS g FROM (SELECT i, w, unnest(range(1, greatest(2, len(w) - {N - 2}))) AS k FROM b WHERE len(w) > 0)),
 ns AS (SELECT DISTINCT n FROM q),
 p AS (SELECT r, k, n, array_to_string(w[k:k+n-1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, ns WHERE len(w) >= n)),

@@ -1,8 +1,12 @@
 """N-gram Jaccard join by MinHash banding.
 
-Documents of the same words are one group from the start. Groups whose MinHash values agree in all rows of a band
-meet in a bucket. A pair that meets in several buckets is verified in the fullest, so that the text of a group of
-near copies travels a few times and not once for each partner; it is verified on the full sets of n-grams.
+Documents of the same words are one class, known by 128 bits of these words; from then on only classes are compared.
+Classes whose MinHash values agree in all rows of a band meet in a bucket. A pair belongs to the first bucket in which
+it meets, so it is verified once, on the full sets of n-grams, and no list of pairs is ever written: a task gives the
+links of each class and the edges that connect what it verified.
+
+Buckets are counted before anything is brought together, so those of one class, which are most, go nowhere. One of more
+than BLOCK classes is cut into blocks by a hash, and each two blocks are a task's business.
 """
 
 from __future__ import annotations
@@ -14,14 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import changes, identity, materialise, named, tuned, whole
+from siftmark.llm.shared import changes, discard, fresh, identity, materialise, named, tuned, whole, written
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.5, 0.97, 128
-ID, H = "_siftmark_id", "_siftmark_h"
 TEXTS = 1000  # about so many texts are verified together
+BLOCK = 1000  # classes of a bucket of more are taken in blocks, two at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,6 +56,10 @@ def gram_hashes(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return texts, starts, out
 
 
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(starts) else np.zeros(0, x.dtype)
+
+
 def _signatures(bands: int, rows: int, n: int):
     draw = np.random.default_rng(5).integers(0, 1 << 63, (2, bands * rows), dtype=np.int64).astype(np.uint64)
     flip, times = draw[0], draw[1] * np.uint64(2) + np.uint64(1)
@@ -62,148 +69,303 @@ def _signatures(bands: int, rows: int, n: int):
             ids, hs = T.column_of(batch, "id"), T.column_of(batch, "h")
             for w in T.words(T.column_of(batch, "text")):
                 texts, starts, grams = gram_hashes(w, n)
-                if not len(texts):
-                    continue
                 first = w.bounds[texts]
                 place = np.arange(len(w.hashes)) - np.repeat(w.bounds[:-1], np.diff(w.bounds))
-                same = [np.add.reduceat(T.mix(w.hashes + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(c)), first) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+                same = [_sums(T.mix(w.hashes + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(c)), first) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
                 out = np.empty((len(texts), bands), np.uint64)
                 for b in range(bands):
                     h = np.full(len(texts), b, np.uint64)
                     for k in range(b * rows, b * rows + rows):
-                        h = T.mix(h * _GOLD + np.minimum.reduceat((grams ^ flip[k]) * times[k], starts))
+                        h = T.mix(h * _GOLD + (np.minimum.reduceat((grams ^ flip[k]) * times[k], starts) if len(starts) else h))
                     out[:, b] = h
-                at = pa.array(w.first + texts)
-                buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(texts) + 1, bands, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), *(pa.array(s.view(np.int64)) for s in same), buckets], ["id", "h", "hi", "lo", "buckets"])
+                key = np.zeros((2, w.texts), np.int64)
+                key[:, texts] = np.stack(same).view(np.int64)
+                none = np.diff(w.bounds) == 0
+                hashes = np.zeros((w.texts, bands), np.int64)
+                hashes[texts] = out.view(np.int64)
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * w.texts + 1, bands, dtype=np.int32)), pa.array(hashes.ravel()))
+                own = [ids.slice(w.first, w.texts), hs.slice(w.first, w.texts)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(k, mask=none) for k in key), buckets], ["id", "h", "hi", "lo", "buckets"])
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of every bucket; a < b, as rows are sorted by id and h."""
-    names = ["a", "ah", "b", "bh", "bucket", "size"]
-    for table in whole(batches, "bucket"):
-        starts = changes(table, "bucket")
-        sizes = np.diff(np.append(starts, table.num_rows))
-        ids, hs, bucket = (table[c].to_numpy() for c in ("id", "h", "bucket"))
-        many = sizes > 1
-        starts, sizes = starts[many], sizes[many]
-        if not len(starts):
-            continue
-        left = np.concatenate([np.arange(s, s + n) for s, n in zip(starts.tolist(), sizes.tolist())])
-        rest = np.repeat(starts + sizes, sizes) - left - 1  # partners after each
-        ends = np.cumsum(rest)
-        done = 0
-        while done < len(left):  # about a million pairs at a time
-            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 1_000_000, "right")))
-            n = rest[done:stop]
-            a = np.repeat(left[done:stop], n)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-            size = np.repeat(np.repeat(sizes, sizes)[done:stop], n)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], hs[a], ids[b], hs[b], bucket[a], size.astype(np.int32))], names)
-            done = stop
-
-
-def _verifier(n: int, threshold: float):
-    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        place = {x: k for k, x in enumerate(zip(texts["id"].to_pylist(), texts["h"].to_pylist()))}
-        sets: list[np.ndarray | None] = [None] * texts.num_rows
-        for w in T.words(texts["text"]):
-            own, starts, grams = gram_hashes(w, n)
-            for t, g in zip(own.tolist(), np.split(grams, starts[1:])):
-                sets[w.first + t] = np.unique(g)
-        a, b = ([place[x] for x in zip(pairs[i].to_pylist(), pairs[h].to_pylist())] for i, h in (("a", "ah"), ("b", "bh")))
-        score = np.zeros(len(a))
-        for k, (i, j) in enumerate(zip(a, b)):
-            x, y = sets[i], sets[j]
-            if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                score[k] = shared / (len(both) - shared)
-        return pairs.select(["a", "ah", "b", "bh"]).append_column("jaccard", pa.array(score)).filter(pa.array(score >= threshold))
+def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(id, h, hi, lo, buckets) of every row: its identity, the class of its words, null where it has none, and a bucket
+    for each band."""
+    bands, rows = bands_for(threshold, recall)
+    return materialise(docs.select(identity(docs)).mapInArrow(_signatures(bands, rows, n), "id long, h long, hi long, lo long, buckets array<long>"), "signatures")
+
+
+def classes_of(signed: DataFrame) -> DataFrame:
+    """(hi, lo, n, id, h, least, buckets): how many rows a class has, its first row, and its least doc_id."""
+    own = signed.where("hi IS NOT NULL").groupBy("hi", "lo")
+    out = own.agg(F.count("*").alias("n"), F.min(F.struct("id", "h")).alias("first"), F.min(named(F.col("id"), F.col("h"))).alias("least"), F.first("buckets").alias("buckets"))
+    return materialise(out.select("hi", "lo", "n", "first.*", "least", "buckets"), "classes")
+
+
+def _pairs(table: pa.Table, bands: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places a < b of the pairs of each bucket, or of two blocks of one, that meet there first, about `most` at a time."""
+    starts = changes(table, "bucket", "low", "high")
+    sizes = np.diff(np.append(starts, table.num_rows))
+    band, block, cross = table["band"].to_numpy(), table["block"].to_numpy(), table["low"].to_numpy() != table["high"].to_numpy()
+    before = _before(table["before"], bands)
+    left = np.concatenate([np.arange(s, s + n) for s, n in zip(starts.tolist(), sizes.tolist())])
+    rest = np.repeat(starts + sizes, sizes) - left - 1  # partners after each
+    ends = np.cumsum(rest)
+    done = 0
+    while done < len(left):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
+        n = rest[done:stop]
+        a = np.repeat(left[done:stop], n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        ok = ~cross[a] | (block[a] != block[b])
+        a, b = a[ok], b[ok]
+        new = _first_meeting(before, band, a, b)
+        yield a[new], b[new]
+        done = stop
+
+
+def _first_meeting(before: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of one bucket each share no bucket of an earlier band."""
+    new = np.ones(len(a), bool)
+    for k in range(int(band.max(initial=0))):
+        live = np.flatnonzero(new & (band[a] > k))
+        if not len(live):
+            break
+        new[live[before[a[live], k] == before[b[live], k]]] = False
+    return new
+
+
+def _before(lists: pa.Array, bands: int) -> np.ndarray:
+    """The buckets of earlier bands as rows of a matrix."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    n = np.diff(bounds)
+    out = np.zeros((len(lists), bands), np.int64)
+    out[np.repeat(np.arange(len(n)), n), np.arange(bounds[-1]) - np.repeat(bounds[:-1], n)] = lists.flatten().to_numpy()
+    return out
+
+
+def _needed(bands: int):
+    """Of the classes of each bucket, or two blocks of one, those with a pair that meets there first. Sorted by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches, "bucket", "low", "high", rows=50_000):
+            use = np.zeros(table.num_rows, bool)
+            for a, b in _pairs(table, bands):
+                use[a] = use[b] = True
+            yield from table.select(["bucket", "low", "high", "block", "band", "hi", "lo"]).filter(pa.array(use)).to_batches()
 
     return run
 
 
-def groups_of(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(id, h, members, buckets): the documents of the same words, under the first of them."""
-    bands, rows = bands_for(threshold, recall)
-    seen = docs.select(identity(docs)).mapInArrow(_signatures(bands, rows, n), "id long, h int, hi long, lo long, buckets array<long>")
-    out = seen.groupBy("hi", "lo").agg(F.sort_array(F.collect_list(F.struct("id", "h"))).alias("members"), F.first("buckets").alias("buckets"))
-    return materialise(out.select(F.col("members")[0]["id"].alias("id"), F.col("members")[0]["h"].alias("h"), "members", "buckets"), "groups")
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each class of a task; a row of the table may be repeated."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keys = list(zip(T.column_of(batch, "hi").to_pylist(), T.column_of(batch, "lo").to_pylist()))
+        use = []
+        for key in keys:
+            use.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(use, pa.bool_()))
+
 
+_LINK = "hi long, lo long, ohi long, olo long, links long"
 
-def group_pairs(docs: DataFrame, groups: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, ah, b, bh, jaccard) of all verified pairs of groups."""
-    met = groups.select(F.explode("buckets").alias("bucket"), "id", "h").repartition("bucket").sortWithinPartitions("bucket", "id", "h")
-    met = met.mapInArrow(_meet, "a long, ah int, b long, bh int, bucket long, size int")
-    pairs = met.groupBy("a", "ah", "b", "bh").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("bucket"))
-    pairs = materialise(pairs, "candidates")
-    sent = pairs.agg(F.approx_count_distinct(F.xxhash64("bucket", "a", "ah")) + F.approx_count_distinct(F.xxhash64("bucket", "b", "bh"))).first()[0]
-    parts = max(1, -(-sent // TEXTS))
-    part = F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int")
-    needed = pairs.select(part.alias("at"), F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ah").alias("h")), F.struct(F.col("b").alias("id"), F.col("bh").alias("h")))).alias("x")).select("at", "x.*").distinct()
-    texts = docs.select(identity(docs)).join(needed.hint("shuffle_hash"), ["id", "h"]).select("at", "id", "h", "text")
-    return texts.groupBy("at").cogroup(pairs.withColumn("part", part).groupBy("part")).applyInArrow(_verifier(n, threshold), "a long, ah int, b long, bh int, jaccard double")
+
+def _verifier(n: int, threshold: float, bands: int, count: bool):
+    """For each class of a task: its links, as a row without another class, and edges that connect those it has links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.lexsort([table[c].to_numpy() for c in ("lo", "hi", "high", "low", "bucket")])
+        table = table.take(pa.array(order)).combine_chunks()
+        table = table.take(pa.array(changes(table, "bucket", "low", "high", "hi", "lo"))).combine_chunks()  # rows may be repeated
+        hi, lo, weight = (table[c].to_numpy() for c in ("hi", "lo", "n"))
+        # every class once, in the order of (hi, lo)
+        by = np.lexsort((lo, hi))
+        new = np.concatenate(([True], (hi[by][1:] != hi[by][:-1]) | (lo[by][1:] != lo[by][:-1])))
+        node = np.empty(len(hi), np.int64)
+        node[by] = np.cumsum(new) - 1
+        own = by[new]
+        grams, bounds = [], [0]
+        for w in T.words(table["text"].take(pa.array(own))):
+            _, starts, found = gram_hashes(w, n)
+            for g in np.split(found, starts[1:]):
+                g = T.distinct(g)
+                grams.append(g)
+                bounds.append(bounds[-1] + len(g))
+        size, bounds = np.diff(bounds), np.array(bounds)
+        code = T.ranked(np.concatenate(grams))[1]
+        mark = np.zeros(len(code), bool)
+        links, root = np.zeros(len(own), np.int64), np.arange(len(own), dtype=np.int64)
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def apart(one: int, others: np.ndarray) -> np.ndarray:
+            mine = find(one)
+            others = others[root[others] != mine]
+            return others[[find(x) != mine for x in others.tolist()]] if len(others) else others
+
+        for a, b in _pairs(table, bands):
+            a, b = node[a], node[b]
+            fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+            order = np.argsort(a[fits], kind="stable")
+            a, b = a[fits][order], b[fits][order]
+            cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+            for one, others in zip(a[cuts].tolist(), np.split(b, cuts[1:])):
+                if not count:  # what is connected already needs no more links
+                    others = apart(one, others)
+                    if not len(others):
+                        continue
+                mine = code[bounds[one] : bounds[one + 1]]
+                mark[mine] = True
+                n_other = size[others]
+                at = np.cumsum(n_other) - n_other
+                shared = np.add.reduceat(mark[code[np.repeat(bounds[others] - at, n_other) + np.arange(n_other.sum())]], at, dtype=np.int64)
+                mark[mine] = False
+                near = others[shared >= threshold * (size[one] + n_other - shared)]
+                links[one] += weight[own[near]].sum()
+                links[near] += weight[own[one]]
+                for x in apart(one, near).tolist():
+                    p, q = find(one), find(x)
+                    root[max(p, q)] = min(p, q)
+        top = np.array([find(x) for x in range(len(own))], np.int64)
+        some, edge = np.flatnonzero(links), np.flatnonzero(top != np.arange(len(own)))
+        first, other = own[np.append(some, edge)], own[top[edge]]
+        pad = lambda x: pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(x)])
+        return pa.table([pa.array(hi[first]), pa.array(lo[first]), pad(hi[other]), pad(lo[other]), pa.array(np.append(links[some], np.zeros(len(edge), np.int64)))], ["hi", "lo", "ohi", "olo", "links"])
+
+    return run
+
+
+def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True, block: int = BLOCK) -> DataFrame:
+    """(hi, lo, ohi, olo, links). Rows without ohi say in how many documents of other classes a class has its likes, and
+    are to be summed; the others are edges that connect what is connected by verified pairs. Without count, pairs of
+    classes that are connected already aren't verified, and links are not to be read."""
+    bands, _ = bands_for(threshold, recall)
+    rows = classes.select("hi", "lo", F.posexplode("buckets").alias("band", "bucket"))
+    sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    met = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block))
+    met = met.withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    met = met.select("hi", "lo", "band", "bucket", "block", other.alias("other"))
+    met = met.select("hi", "lo", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = met.join(classes.select("hi", "lo", "buckets"), ["hi", "lo"]).withColumn("before", F.expr("slice(buckets, 1, band)")).drop("buckets")
+    task = ["bucket", "low", "high"]
+    needed = met.repartition(*task).sortWithinPartitions(*task, "hi", "lo").mapInArrow(_needed(bands), "bucket long, low int, high int, block int, band int, hi long, lo long")
+    needed = materialise(needed, "needed")
+    parts = max(1, -(-needed.count() // TEXTS))
+    asked = needed.groupBy("hi", "lo").agg(F.collect_list(F.struct("bucket", "low", "high", "block", "band")).alias("asked"))
+    asked = asked.join(classes, ["hi", "lo"]).select("id", "h", "hi", "lo", "n", "buckets", "asked")
+    sent = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"])
+    sent = sent.mapInArrow(_once, sent.schema).select("hi", "lo", "n", "text", "buckets", F.explode("asked").alias("a"))
+    sent = sent.select("hi", "lo", "n", "text", "a.*", F.expr("slice(buckets, 1, a.band)").alias("before"), F.pmod(F.xxhash64("a.bucket", "a.low", "a.high"), F.lit(parts)).cast("int").alias("task"))
+    return materialise(sent.groupBy("task").applyInArrow(_verifier(n, threshold, bands, count), _LINK), "links")
+
+
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(hi, lo, rhi, rlo, n, links) of the classes that hold several documents or are connected to others: the class
+    that stands for all that are connected, and how many documents each one of this class is like."""
+    node = lambda a, b, name: F.struct(F.col(a).alias("hi"), F.col(b).alias("lo")).alias(name)
+    edges = links.where("ohi IS NOT NULL")
+    roots = components(edges.select(node("hi", "lo", "u"), node("ohi", "olo", "v"))).select("node.*", F.col("root.hi").alias("rhi"), F.col("root.lo").alias("rlo"))
+    tops = roots.select(F.col("rhi").alias("hi"), F.col("rlo").alias("lo")).distinct()
+    counts = links.where("ohi IS NULL").groupBy("hi", "lo").agg(F.sum("links").alias("links"))
+    all_ = roots.unionByName(tops.select("hi", "lo", F.col("hi").alias("rhi"), F.col("lo").alias("rlo"))).join(counts, ["hi", "lo"], "left")
+    out = classes.select("hi", "lo", "n", "least").join(all_, ["hi", "lo"], "left").where("n > 1 OR rhi IS NOT NULL")
+    return materialise(out.select("hi", "lo", F.coalesce("rhi", "hi").alias("rhi"), F.coalesce("rlo", "lo").alias("rlo"), "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "grouped")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(left_ids, right_ids, jaccard): every document of left_ids has with every one of right_ids that Jaccard
-    index of their sets of n-grams of words, `threshold` or more. The documents of one list have the same words.
-
-    A list of two or more also has a row with right_ids empty and jaccard 1.0, for the pairs within it; so each
-    pair is in one row and copies take linear space. Of the pairs at the threshold a share of `recall` is found,
-    of those above it more, and all found are verified. Rows repeated in the table stay repeated in the lists. A
-    text of fewer than n words has one gram, all of it; a null or empty text, or one without words, is like no
-    other. A null doc_id can't be named and is left out of lists. Columns other than doc_id and text are not
-    read. An empty table gives an empty result.
+    """(doc_id, class_id, links), a row for every row of docs.
+
+    links is the number of other rows that have with it that Jaccard index of their sets of n-grams of words, `threshold`
+    or more; rows of the same words, whose index is 1, are among them. What pairs connect, directly or through others, is
+    one class, and class_id is the least doc_id in it, null where none has one.
+
+    Of the pairs at the threshold a share of `recall` is found, of those above it more; all that are found are verified
+    and counted once, so results grow with the table, whatever the sizes of its groups. A text of fewer than n words has
+    one gram, all of it; a very long one is compared as a whole. A null or empty text, or one without words, is like no
+    other: it has no links and its own doc_id as its class. Null doc_ids have their row and are counted. Rows repeated in
+    the table are rows of one class. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
     tuned(docs.sparkSession)
-    groups = groups_of(docs, n, threshold, recall)
-    lists = groups.select("id", "h", F.filter(F.transform("members", lambda m: named(m["id"])), lambda x: x.isNotNull()).alias("ids"))
-    found = group_pairs(docs, groups, n, threshold)
-    left = lists.select(F.col("id").alias("a"), F.col("h").alias("ah"), F.col("ids").alias("left_ids"))
-    right = lists.select(F.col("id").alias("b"), F.col("h").alias("bh"), F.col("ids").alias("right_ids"))
-    near = found.join(left, ["a", "ah"]).join(right, ["b", "bh"]).where("size(left_ids) > 0 AND size(right_ids) > 0").select("left_ids", "right_ids", "jaccard")
-    alike = lists.where(F.size("ids") > 1).select(F.col("ids").alias("left_ids"), F.array().cast("array<long>").alias("right_ids"), F.lit(1.0).alias("jaccard"))
-    return near.unionAll(alike)
+    signed = signatures(docs, n, threshold, recall)
+    classes = classes_of(signed)
+    grouped = _grouped(classes, links_of(docs, classes, n, threshold, recall))
+    least = grouped.groupBy("rhi", "rlo").agg(F.min("least").alias("class_id"))
+    found = grouped.join(least, ["rhi", "rlo"]).select("hi", "lo", "class_id", "links", F.lit(True).alias("found"))
+    doc_id = named(F.col("id"), F.col("h"))
+    rows = signed.where("hi IS NOT NULL").select(doc_id.alias("doc_id"), "hi", "lo").join(found, ["hi", "lo"], "left")
+    rows = rows.select("doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return rows.unionAll(signed.where("hi IS NULL").select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (u, v) but the roots: root is the least node that can be reached.
 
-    Large and small stars in turn until nothing changes, each round written to the shared folder; the number of
-    rounds grows with the logarithm of the longest path.
+    Large and small stars in turn until nothing changes, each round written to the shared folder and the one before it
+    deleted; the number of rounds grows with the logarithm of the longest path. The least neighbour of a node is found
+    by an aggregation and joined back, so that one with very many neighbours is no task of its own.
     """
-    edges = materialise(edges.where("u <> v"), "edges")
+    spark, kind = edges.sparkSession, edges.schema
+    path = written(edges.where("u <> v"), "edges")
     before = None
     while True:
+        edges = spark.read.schema(kind).parquet(path)
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        small = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        edges = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = materialise(edges, "edges")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pair = lambda a: F.struct(F.col(a).alias("u"), F.col("m").alias("v"))
+        new = written(small.select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        discard(path)
+        path = new
+        state = spark.read.schema(kind).parquet(path).agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return spark.read.schema(kind).parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of docs, with all their columns, less all but the first document, by doc_id, of each group that
-    pairs of join() connect. Null doc_ids come last. Rows repeated in doc_id and text are one document, of which
-    one row stays. Documents without words are in no group."""
+    """The rows of docs, with all their columns, less all but the first document, by doc_id, of each class of join().
+
+    Null doc_ids come last, by a hash of the text. Rows repeated in doc_id and text are one document, of which one row
+    stays. Documents without words, null and empty ones too, are in no class, and very long ones are compared as a
+    whole. An empty table gives an empty result. Names of other columns don't matter.
+    """
     tuned(docs.sparkSession)
-    groups = groups_of(docs, n, threshold, recall)
-    edges = group_pairs(docs, groups, n, threshold).select(F.struct(F.col("b").alias("id"), F.col("bh").alias("h")).alias("u"), F.struct(F.col("a").alias("id"), F.col("ah").alias("h")).alias("v"))
-    linked = components(edges).select(F.col("node.id").alias("id"), F.col("node.h").alias("h"), F.lit(True).alias("linked"))
-    gone = groups.join(linked, ["id", "h"], "left").select(F.explode(F.when(F.col("linked"), F.col("members")).otherwise(F.slice("members", 2, F.greatest(F.lit(1), F.size("members"))))).alias("m"), F.col("id").alias("own"), F.col("h").alias("ownh"), "linked")
-    gone = gone.where("linked OR m.id <> own OR m.h <> ownh").select(F.col("m.id").alias(ID), F.col("m.h").alias(H)).distinct()
+    own_id, own_h, mark = fresh(docs, "_id", "_h", "_mark")
+    signed = signatures(docs, n, threshold, recall)
+    classes = classes_of(signed)
+    grouped = _grouped(classes, links_of(docs, classes, n, threshold, recall, count=False))
+    first = grouped.select("hi", "lo", "rhi", "rlo").join(classes.select("hi", "lo", "id", "h"), ["hi", "lo"])
+    first = first.groupBy("rhi", "rlo").agg(F.min(F.struct("id", "h")).alias("head"))
+    found = grouped.select("hi", "lo", "rhi", "rlo").join(first, ["rhi", "rlo"]).select("hi", "lo", "head")
+    gone = signed.select("id", "h", "hi", "lo").join(found, ["hi", "lo"]).where("id <> head.id OR h <> head.h").select("id", "h").distinct()
+    twice = signed.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h")
+    marks = gone.withColumn(mark, F.lit(1)).unionByName(twice.join(gone, ["id", "h"], "left_anti").withColumn(mark, F.lit(2)))
+    marks = materialise(marks.withColumnsRenamed({"id": own_id, "h": own_h}), "marks")
     own = identity(docs)
-    rows = docs.select("*", own[0].alias(ID), own[1].alias(H)).join(gone, [ID, H], "left_anti")
-    once = F.row_number().over(Window.partitionBy(ID, H).orderBy(ID, H))
-    return rows.withColumn("_siftmark_n", once).where("_siftmark_n = 1").select(docs.columns)
+    rows = docs.select("*", own[0].alias(own_id), own[1].alias(own_h))
+    if marks.where(F.col(mark) == 2).isEmpty():
+        return rows.join(marks.hint("shuffle_hash"), [own_id, own_h], "left_anti").drop(own_id, own_h)
+    rows = rows.join(marks.hint("shuffle_hash"), [own_id, own_h], "left")
+    once = rows.where(F.col(mark) == 2).dropDuplicates([own_id, own_h])
+    return rows.where(F.col(mark).isNull()).unionAll(once).drop(own_id, own_h, mark)
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[k:k+{N - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {N - 2}))) AS k FROM d WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+near AS (SELECT a, b FROM p JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE k >= {THRESHOLD} * (x.n + y.n - k)),
+reach AS (SELECT r, r AS x FROM d UNION SELECT reach.r, near.b AS x FROM reach JOIN near ON near.a = reach.x)
+SELECT d.doc_id, (SELECT min(e.doc_id) FROM reach JOIN d e ON e.r = reach.x WHERE reach.r = d.r) AS class_id, (SELECT count(*) FROM near WHERE near.a = d.r) AS links FROM d"""

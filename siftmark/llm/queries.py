@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op5_suffix_array": suffixes.SQL, "op7_decontamination": decontaminate.SQL, "op8_fingerprints": fingerprints.sql()}
+    return {"op2_chat_format": chat.SQL, "op5_suffix_array": suffixes.SQL, "op7_decontamination": decontaminate.SQL, "op8_fingerprints": fingerprints.sql(), "op10_ngram_jaccard": jaccard.SQL}

@@ -2,12 +2,14 @@
 
 Every window of `length` words owns an anchor, the least hashed k-gram in it (the rightmost of several). What the
 window holds determines it, so equal windows meet under one anchor, wherever they are. Consecutive windows with the
-same anchor are a run. Runs of one anchor are brought together as hashes alone; where all say the same, which is so
-inside of copies, nothing else is needed. Where they differ, the text of one run of each kind is fetched, and a
-suffix array over these, made by linear grouping, finds the windows that they share.
-
-A suffix is sorted in one place only, tasks hold a bounded number of runs, and no text goes to a task for a passage
-that occurs once.
+same anchor are a run, and runs of the same words a kind, known by 128 bits. Anchors of one run, which are most, are
+left out first. Then each kind is known by its first place, found by an aggregation, so copies of a passage are never
+brought together, however many there are. Where an anchor has one kind, as inside of copies, nothing else is needed.
+Where it has several, the text of the first place of each is fetched, and a suffix array over these, made by linear
+grouping, finds the windows that they share. An anchor of very many kinds is cut into blocks, each sorted by itself, and
+the windows that are left of each block meet by 128 bits of their words.
+
+No text goes to a task for a passage that occurs once, and no task holds the places of a passage.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import changes, identity, materialise, named, tuned, whole
+from siftmark.llm.shared import changes, fresh, identity, materialise, named, tuned, whole
 
 LENGTH, K = 50, 10
-RUNS = 2000  # about so many kinds of runs have their suffixes sorted together
+RUNS = 2000  # about so many kinds of runs have their suffixes sorted together, and at most so many of one anchor
 _LOW = np.uint64(0xFFFFFFFF)
-SPAN = "id long, h int, pos int, n int, fid long, fh int, fpos int"
+SPAN = "id long, h long, pos int, n int, fid long, fh long, fpos int"
 
 
 def suffix_array(s: np.ndarray) -> list[int]:
@@ -117,7 +119,7 @@ def equal_windows(texts: list[np.ndarray], length: int) -> np.ndarray:
     sizes = np.array([len(t) for t in texts])
     counts = sizes - length + 1
     starts = np.cumsum(sizes + 1) - sizes - 1  # a separator after each
-    words, code = np.unique(np.concatenate(texts), return_inverse=True)
+    code = T.ranked(np.concatenate(texts))[1]
     s = np.ones(sizes.sum() + len(texts) + 1, np.int64)
     inside = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     s[inside] = code + 2
@@ -169,36 +171,20 @@ def _runs(length: int, k: int):
     return run
 
 
-_FOUND = "anchor long, n int, id long, h int, pos int, pid array<long>, ph array<int>, ppos array<int>, several boolean"
-
-
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each kind of run of an anchor that occurs more than once: its first place and the others. Sorted by
-    anchor, kind, id, h and pos."""
-    for table in whole(batches, "anchor"):
-        heads, kinds = changes(table, "anchor"), changes(table, "anchor", "kind")
-        owner = np.searchsorted(heads, kinds, "right") - 1
-        times = np.diff(np.append(heads, table.num_rows))[owner]  # of the anchor
-        several = np.bincount(owner, minlength=len(heads))[owner] > 1
-        ends = np.append(kinds[1:], table.num_rows)
-        use = np.flatnonzero(times > 1)
-        if not len(use):
-            continue
-        begin, size = kinds[use], (ends - kinds)[use] - 1
-        rest = np.repeat(begin + 1 - np.cumsum(size) + size, size) + np.arange(size.sum())
-        bounds = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
-        col = {c: table[c].to_numpy() for c in ("anchor", "n", "id", "h", "pos")}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(col["anchor"][begin]), pa.array(col["n"][begin].astype(np.int32)), *(pa.array(col[c][begin]) for c in ("id", "h", "pos")), *(pa.ListArray.from_arrays(bounds, pa.array(col[c][rest])) for c in ("id", "h", "pos")), pa.array(several[use])],
-            ["anchor", "n", "id", "h", "pos", "pid", "ph", "ppos", "several"],
-        )
+_ASKED = ["anchor", "kind", "n", "id", "h", "pos", "block", "hot"]
+_FETCHED = "anchor long, kind long, n int, id long, h long, pos int, block int, hot boolean, words array<long>"
+_PIECE = "anchor long, kind long, offset int, n int, fid long, fh long, fpos int, hot boolean, whi long, wlo long"
 
 
 def _fetch(length: int):
-    """Adds the words of each asked run to it; rows are (document, asked runs)."""
+    """The words of each asked run; rows are (document, asked runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            keys = list(zip(T.column_of(batch, "id").to_pylist(), T.column_of(batch, "h").to_pylist()))
+            new = [not (x in seen or seen.add(x)) for x in keys]  # a document's row may be repeated
+            batch = batch.filter(pa.array(new, pa.bool_()))
             asked = T.column_of(batch, "asked")
             bounds = asked.offsets.to_numpy() - asked.offsets[0].as_py()
             runs = asked.flatten()
@@ -210,45 +196,36 @@ def _fetch(length: int):
                 size = n[low:high] + length - 1
                 take = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
                 words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(w.hashes[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(runs.field(c).slice(low, high - low) for c in ("anchor", "n", "id", "h", "pos", "pid", "ph", "ppos")), words], ["anchor", "n", "id", "h", "pos", "pid", "ph", "ppos", "words"])
+                yield pa.RecordBatch.from_arrays([*(runs.field(c).slice(low, high - low) for c in _ASKED), words], [*_ASKED, "words"])
 
     return run
 
 
-def _spread(n: np.ndarray, own: tuple[np.ndarray, ...], places: list[pa.Array], pieces: tuple[np.ndarray, ...]) -> pa.Table:
-    """Spans of all places of some runs. own: id, h and pos of each run's first place; places: lists of the others;
-    pieces: (run, offset, n, fid, fh, fpos), the parts of each run with the first place of their windows."""
-    run, offset, size, fid, fh, fpos = pieces
-    bounds = places[0].offsets.to_numpy() - places[0].offsets[0].as_py()
-    flat = [p.flatten().to_numpy() for p in places]
-    others = np.diff(bounds)[run]
-    part = np.repeat(np.arange(len(run)), others)
-    at = np.repeat(bounds[run] - np.cumsum(others) + others, others) + np.arange(others.sum())
-    id, h, pos = (np.concatenate((o[run], f[at])) for o, f in zip(own, flat))
-    part = np.concatenate((np.arange(len(run)), part))
-    pos = pos + offset[part].astype(np.int32)
-    keep = (id != fid[part]) | (h != fh[part]) | (pos != fpos[part])
-    part = part[keep]
-    return pa.table({"id": id[keep], "h": h[keep].astype(np.int32), "pos": pos[keep].astype(np.int32), "n": size[part].astype(np.int32), "fid": fid[part], "fh": fh[part].astype(np.int32), "fpos": fpos[part].astype(np.int32)})
-
-
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the anchors with one kind of run: every place after the first repeats it."""
-    for batch in batches:
-        n, id, h, pos = (T.column_of(batch, c).to_numpy() for c in ("n", "id", "h", "pos"))
-        all_ = np.arange(len(n))
-        yield from _spread(n, (id, h, pos), [T.column_of(batch, c) for c in ("pid", "ph", "ppos")], (all_, np.zeros(len(n), np.int64), n, id, h, pos)).to_batches()
+def _hashed(words: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """128 bits of the windows of `length` words that begin at begin, [2, windows]."""
+    out = []
+    for salt in (0, 0x9E3779B97F4A7C15):
+        x = T.mix(words.view(np.uint64) + np.uint64(salt))
+        up, down = T._power_tables(len(x) + 1)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * up[: len(x)], out=sums[1:])
+        out.append(T.mix((sums[begin + length] - sums[begin]) * down[begin]).view(np.int64))
+    return np.stack(out)
 
 
 def _sorter(length: int):
+    """The parts of each run with the first place of their windows among the runs of the task. Of a hot anchor each window is
+    a part, and where it is its own first place it has its hash."""
+
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort([table[c].to_numpy() for c in ("pos", "h", "id")])
         table = table.take(pa.array(order)).combine_chunks()
         table = table.take(pa.array(changes(table, "id", "h", "pos"))).combine_chunks()  # a document's row may be repeated
         n, id, h, pos = (table[c].to_numpy().astype(np.int64) for c in ("n", "id", "h", "pos"))
         lists = table["words"].chunk(0)
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        window = equal_windows(np.split(lists.flatten().to_numpy(), bounds[1:-1]), length)
+        bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        words = lists.flatten().to_numpy()
+        window = equal_windows(np.split(words, bounds[1:-1]), length)
         # of the places of a window, the first by document and position
         run = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
@@ -257,9 +234,17 @@ def _sorter(length: int):
         first = np.empty(len(run), np.int64)
         first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         fid, fh, fpos = id[run[first]], h[run[first]], pos[run[first]] + offset[first]
-        new = np.concatenate(([True], (run[1:] != run[:-1]) | (fid[1:] != fid[:-1]) | (fh[1:] != fh[:-1]) | (fpos[1:] != fpos[:-1] + 1)))
+        hot = table["hot"].to_numpy()[run]
+        new = np.concatenate(([True], (run[1:] != run[:-1]) | hot[1:] | (fid[1:] != fid[:-1]) | (fh[1:] != fh[:-1]) | (fpos[1:] != fpos[:-1] + 1)))
         at = np.flatnonzero(new)
-        return _spread(n, (id, h, pos), [table[c].chunk(0) for c in ("pid", "ph", "ppos")], (run[at], offset[at], np.diff(np.append(at, len(run))), fid[at], fh[at], fpos[at]))
+        own = hot[at] & (first[at] == at)
+        key = np.zeros((2, len(at)), np.int64)
+        if own.any():
+            key[:, own] = _hashed(words, bounds[run[at[own]]] + offset[at[own]], length)
+        anchor, kind = (table[c].to_numpy()[run[at]] for c in ("anchor", "kind"))
+        small = lambda x: pa.array(x.astype(np.int32))
+        columns = [pa.array(anchor), pa.array(kind), small(offset[at]), small(np.diff(np.append(at, len(run)))), pa.array(fid[at]), pa.array(fh[at]), small(fpos[at]), pa.array(hot[at]), *(pa.array(x, mask=~own) for x in key)]
+        return pa.table(columns, [c.split()[0] for c in _PIECE.split(", ")])
 
     return run
 
@@ -278,21 +263,42 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(col["id"][at]), pa.array(col["h"][at]), pa.array(col["pos"][at]), pa.array((stop - col["pos"][at]).astype(np.int32)), *(pa.array(col[c][at]) for c in ("fid", "fh", "fpos"))], ["id", "h", "pos", "n", "fid", "fh", "fpos"])
 
 
-def spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def _settled(pieces: DataFrame) -> DataFrame:
+    """Parts of hot anchors with the first place of their windows over all blocks."""
+    place = F.struct(F.col("fid").alias("id"), F.col("fh").alias("h"), F.col("fpos").alias("pos"))
+    heads = pieces.where("whi IS NOT NULL").select("whi", "wlo", "fid", "fh", "fpos", place.alias("place"))
+    best = heads.groupBy("whi", "wlo").agg(F.min("place").alias("best"))
+    moved = heads.drop("place").join(best, ["whi", "wlo"]).select("fid", "fh", "fpos", "best")
+    return pieces.join(moved, ["fid", "fh", "fpos"]).select("anchor", "kind", "offset", "n", F.col("best.id").alias("fid"), F.col("best.h").alias("fh"), F.col("best.pos").alias("fpos"))
+
+
+def spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = RUNS) -> DataFrame:
     """(id, h, pos, n, fid, fh, fpos): n windows from word pos on that are first seen from word fpos of document fid on."""
     tuned(docs.sparkSession)
-    runs = docs.select(identity(docs)).mapInArrow(_runs(length, k), "anchor long, kind long, id long, h int, pos int, n short")
-    found = runs.repartition("anchor").sortWithinPartitions("anchor", "kind", "id", "h", "pos").mapInArrow(_kinds, _FOUND)
-    found = materialise(found, "runs")
-    asked = found.where("several").drop("several")
-    tasks = max(1, -(-asked.count() // RUNS))
+    runs = docs.select(identity(docs)).mapInArrow(_runs(length, k), "anchor long, kind long, id long, h long, pos int, n short")
+    if not docs.select(identity(docs)[:2]).groupBy("id", "h").count().where("count > 1").isEmpty():
+        runs = runs.distinct()
+    runs = materialise(runs, "runs")
+    again = materialise(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
+    runs = materialise(runs.join(again, "anchor", "left_semi"), "met")
+    kinds = runs.groupBy("anchor", "kind").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "pos")).alias("head"), F.first("n").cast("int").alias("n"))
+    kinds = materialise(kinds.select("anchor", "kind", "times", "head.*", "n"), "kinds")
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = kinds.join(many, "anchor", "left")
+    alone = kinds.where("kinds IS NULL AND times > 1").select("anchor", "kind", F.lit(0).alias("offset"), "n", F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("pos").alias("fpos"))
+    blocks = F.ceil(F.col("kinds") / most)
+    asked = materialise(kinds.where("kinds IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("kind"), blocks).cast("int")).withColumn("hot", blocks > 1).select(_ASKED), "asked")
+    tasks = max(1, -(-asked.count() // most))
     asked = asked.groupBy("id", "h").agg(F.collect_list(F.struct(asked.columns)).alias("asked"))
-    once = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"]).select("text", "asked")
-    fetched = once.mapInArrow(_fetch(length), "anchor long, n int, id long, h int, pos int, pid array<long>, ph array<int>, ppos array<int>, words array<long>")
-    fetched = fetched.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)).cast("int"))
-    mixed = fetched.groupBy("task").applyInArrow(_sorter(length), SPAN)
-    alone = found.where("NOT several AND size(pid) > 0").mapInArrow(_alone, SPAN)
-    parts = alone.unionAll(mixed).withColumn("shift", F.col("pos") - F.col("fpos"))
+    once = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"]).select("id", "h", "text", "asked")
+    fetched = once.mapInArrow(_fetch(length), _FETCHED).withColumn("task", F.pmod(F.xxhash64("anchor", "block"), F.lit(tasks)).cast("int"))
+    mixed = materialise(fetched.groupBy("task").applyInArrow(_sorter(length), _PIECE), "pieces")
+    pieces = alone.unionByName(mixed.where("NOT hot").select(alone.columns))
+    hot = mixed.where("hot")
+    if not hot.isEmpty():
+        pieces = pieces.unionByName(_settled(hot))
+    parts = runs.drop("n").join(pieces, ["anchor", "kind"]).withColumn("pos", F.col("pos") + F.col("offset"))
+    parts = parts.where("id <> fid OR h <> fh OR pos <> fpos").select("id", "h", "pos", "n", "fid", "fh", "fpos", (F.col("pos") - F.col("fpos")).alias("shift"))
     return parts.repartition("id", "h").sortWithinPartitions("id", "h", "fid", "fh", "shift", "pos").mapInArrow(_joined, SPAN)
 
 
@@ -303,15 +309,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     A passage is reported where each of its windows of `length` words, 50 for production, has an earlier equal;
     documents come in the order of doc_id, null last, and words in that of the text. Passages that overlap but
     are first found in different places are rows of their own. Documents of one doc_id but different texts go by a
-    hash of the text; rows repeated in doc_id and text are one document. Null and
-    empty texts and those of fewer words have no passage. Columns other than doc_id and text are not read. An
-    empty table gives an empty result.
+    hash of the text, and so do those of none; rows repeated in doc_id and text are one document. Null and
+    empty texts and those of fewer words have no passage; very long ones are taken as a whole. Columns other than doc_id
+    and text are not read. An empty table gives an empty result.
     """
     out = spans(docs, length, k)
-    return out.select(named(F.col("id")).alias("doc_id"), F.col("pos").alias("start"), (F.col("n") + length - 1).alias("length"), named(F.col("fid")).alias("first_doc_id"), F.col("fpos").alias("first_start"))
-
-
-ID, H, CUTS = "_siftmark_id", "_siftmark_h", "_siftmark_cuts"
+    return out.select(named(F.col("id"), F.col("h")).alias("doc_id"), F.col("pos").alias("start"), (F.col("n") + length - 1).alias("length"), named(F.col("fid"), F.col("fh")).alias("first_doc_id"), F.col("fpos").alias("first_start"))
 
 
 def _without(column: pa.Array, cuts: pa.Array, length: int) -> tuple[pa.Array, np.ndarray]:
@@ -370,14 +373,14 @@ def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
     The marks and blanks between dropped words go with them. n_chars, where docs has it as a number, is counted
     anew. A document of which no word is left is dropped; one without such passages stays as it is, null and
-    empty texts too.
+    empty texts too. An empty table gives an empty result. Names of other columns don't matter.
     """
-    found = spans(docs, length, k).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n")).alias(CUTS)).withColumnsRenamed({"id": ID, "h": H})
+    own_id, own_h, own_cuts = fresh(docs, "_id", "_h", "_cuts")
+    found = spans(docs, length, k).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n")).alias(own_cuts)).withColumnsRenamed({"id": own_id, "h": own_h})
     id, h, _ = identity(docs)
-    rows = docs.select("*", id.alias(ID), h.alias(H)).join(found.hint("shuffle_hash"), [ID, H], "left")
-    types = dict(docs.dtypes)
-    rows = rows.select(*docs.columns, F.coalesce(CUTS, F.array().cast("array<struct<pos:int,n:int>>")).alias(CUTS))
-    count = docs.columns.index("n_chars") if types.get("n_chars") in ("int", "bigint") else None
+    rows = docs.select("*", id.alias(own_id), h.alias(own_h)).join(found.hint("shuffle_hash"), [own_id, own_h], "left").drop(own_id, own_h)
+    rows = rows.withColumn(own_cuts, F.coalesce(own_cuts, F.array().cast("array<struct<pos:int,n:int>>")))
+    count = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
     return rows.mapInArrow(_cut(docs.columns.index("text"), length, count), docs.schema)
 
 

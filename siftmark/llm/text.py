@@ -95,6 +95,12 @@ def words(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[Wo
         yield _words(first, data, at)
 
 
+def words_of_all(column: pa.Array) -> Words:
+    """The words of all texts as one chunk."""
+    data, at = _buffer(pc.binary_join_element_wise(pc.utf8_lower(column.fill_null("")), pa.scalar("", column.type), pa.scalar("\n", column.type)))
+    return _words(0, data, at)
+
+
 def codepoints(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, code points of the lower-cased texts, bounds of each text), chunk by chunk."""
     if isinstance(column, pa.ChunkedArray):
@@ -138,6 +144,34 @@ def within(bounds: np.ndarray, n: int, total: int) -> np.ndarray:
     return ok
 
 
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where other values begin in ascending ones."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """As np.unique; a sort takes a tenth of the time that its hash table takes on millions of numbers."""
+    x = np.sort(x)
+    return x[_heads(x)]
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, ascending, and how often each occurs."""
+    x = np.sort(x)
+    at = _heads(x)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, ascending, and the place of each element's value among them."""
+    order = np.argsort(x)
+    x = x[order]
+    at = _heads(x)
+    place = np.empty(len(x), np.int32)
+    place[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(x))))
+    return x[at], place
+
+
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w keys in a row, by doubling."""
     out, have = keys, 1
