@@ -119,7 +119,7 @@ def _count(depth: int, near: int, parts: int):
         def settle() -> None:
             nonlocal waiting, size
             if waiting:
-                k, n = np.unique(np.concatenate(waiting), return_counts=True)
+                k, n = T.counted(np.concatenate(waiting))
                 keys.append(k)
                 counts.append(n)
                 waiting, size = [], 0
@@ -195,7 +195,7 @@ def _grow(depth: int, near: int, short: tuple[np.ndarray, np.ndarray], least: fl
                     stays = (total >= least) & (_diverges(keys, counts, d, levels[d - 1] if d > near else short) >= divergence)
                     stays[np.searchsorted(contexts, below)] = True
                     own = stays[np.searchsorted(contexts, keys >> BITS)]
-                    below = np.unique(_low(contexts[stays], d - 1))
+                    below = T.distinct(_low(contexts[stays], d - 1))
                     if own.any():
                         yield pa.RecordBatch.from_pydict({"part": batch.column("part").slice(i, 1), "depth": pa.array([d], pa.int32()), "grams": [_pack(_steps(keys[own]))], "counts": [_pack(counts[own])]})
 
@@ -208,7 +208,7 @@ def _suffixes(near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in batch.column("grams").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_low(np.cumsum(_unpack(g)) >> BITS, near - 1)))], ["context"])
+                yield pa.RecordBatch.from_arrays([pa.array(T.distinct(_low(np.cumsum(_unpack(g)) >> BITS, near - 1)))], ["context"])
 
     return run
 
@@ -271,12 +271,12 @@ def train(docs: DataFrame, depth: int = DEPTH, share: float | None = None, diver
 def _distinct(column: pa.ChunkedArray, depth: int) -> np.ndarray:
     held, size = [np.zeros(0, np.int64)], 0
     for _, stream, begin in symbols(column, depth):
-        held.append(np.unique(_grams(stream, begin, depth)))
+        held.append(T.distinct(_grams(stream, begin, depth)))
         size += len(held[-1])
-        if size > 4_000_000:
-            held = [np.unique(np.concatenate(held))]
+        if size > 8_000_000:
+            held = [T.distinct(np.concatenate(held))]
             size = 0
-    return np.unique(np.concatenate(held))
+    return T.distinct(np.concatenate(held))
 
 
 def _ask(depth: int, near: int, parts: int):
@@ -319,12 +319,11 @@ def _score(depth: int, near: int, parts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         held, sizes = [], []
         for _, stream, begin in symbols(docs["text"], depth):
-            u, at = np.unique(_grams(stream, begin, depth), return_inverse=True)
-            held.append((u, at.astype(np.int32)))
+            held.append(T.ranked(_grams(stream, begin, depth)))
             sizes.append(np.diff(begin) - depth)
         grams = np.zeros(0, np.int64)
         for low in range(0, len(held), 16):
-            grams = np.unique(np.concatenate([grams, *(u for u, _ in held[low : low + 16])]))
+            grams = T.distinct(np.concatenate([grams, *(u for u, _ in held[low : low + 16])]))
         got = dict(zip(answers["part"].to_pylist(), answers["bits"].to_pylist()))
         bits = np.zeros(len(grams), np.float32)
         for k, own in _by_part(grams, near, parts):
