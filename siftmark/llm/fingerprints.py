@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing.
 
-A text is lower-cased and reduced to its word characters. Every k of them in a row have a Karp-Rabin hash; of
+A text is lower-cased and reduced to its word characters. Every k of them in a row have a Karp-Rabin hash by two moduli, 62
+bits together; of
 every `window` hashes in a row the least is kept, the rightmost where several are least. Two texts that share
 k + window - 1 normalised characters therefore share a fingerprint, and the positions say where.
 """
@@ -17,47 +18,60 @@ from siftmark.llm import text as T
 from siftmark.llm.shared import tuned
 
 K, WINDOW = 32, 64
-PRIME, BASE = (1 << 31) - 1, 1_000_003
+PRIMES, BASE = ((1 << 31) - 1, (1 << 31) - 19), 1_000_003
 _KEEP = np.zeros(128, bool)
 _KEEP[[*b"0123456789abcdefghijklmnopqrstuvwxyz_"]] = True
-_LOW = np.int64(0xFFFFFFFF)
 
 
-def rolling(points: np.ndarray, k: int) -> np.ndarray:
-    """Sum of points[i + j] * BASE**(k - 1 - j) modulo PRIME for every i, by doubling."""
+def rolling(points: np.ndarray, k: int, prime: int) -> np.ndarray:
+    """Sum of points[i + j] * BASE**(k - 1 - j) modulo prime for every i, by doubling."""
     have, out = 0, None
-    power, size = points.astype(np.int64) % PRIME, 1
+    power, size = points.astype(np.int64) % prime, 1
     while True:
         if k & size:
             if out is None:
                 out, have = power, size
             else:  # the block of `size` goes before what there is
                 n = max(0, len(points) - have - size + 1)
-                out = (power[:n] * pow(BASE, have, PRIME) + out[size : size + n]) % PRIME
+                out = (power[:n] * pow(BASE, have, prime) + out[size : size + n]) % prime
                 have += size
         if have == k:
             return out
         n = max(0, len(points) - 2 * size + 1)
-        power = (power[:n] * pow(BASE, size, PRIME) + power[size : size + n]) % PRIME
+        power = (power[:n] * pow(BASE, size, prime) + power[size : size + n]) % prime
         size *= 2
 
 
+def last_least(x: np.ndarray, w: int) -> np.ndarray:
+    """Of every w numbers in a row, the place of the least, the rightmost of several, by doubling."""
+    at, have = np.arange(len(x)), 1
+    while have < w:
+        step = min(have, w - have)
+        left, right = (x, x[step:]) if have == 1 else (least[:-step], least[step:])
+        left = left[: len(right)]
+        later = right <= left
+        least = np.where(later, right, left)
+        at = np.where(later, at[step:], at[:-step])
+        have += step
+    return at
+
+
 def winnow(points: np.ndarray, bounds: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Chosen positions in the normalised stream, ascending, and their hashes; bounds delimit the texts in it."""
-    hashes = rolling(points, k)
-    keys = (hashes << np.int64(32)) | (_LOW - np.arange(len(hashes)))
+    first, second = (rolling(points, k, p) for p in PRIMES)
+    hashes = (first << np.int64(31)) | second
     counts = np.diff(bounds) - (k - 1)
-    chosen = []
-    if len(keys) >= window:
-        least = T.sliding_min(keys, window)
-        chosen.append(least[T.within(bounds, window + k - 1, len(points))])
+    chosen = [np.zeros(0, np.int64)]
+    if len(hashes) >= window:
+        chosen.append(last_least(hashes, window)[T.within(bounds, window + k - 1, len(points))])
     short = np.flatnonzero((counts > 0) & (counts < window))
     if len(short):
-        cuts = np.stack((bounds[short], bounds[short] + counts[short]), 1).ravel()
-        if cuts[-1] == len(keys):
-            cuts = cuts[:-1]
-        chosen.append(np.minimum.reduceat(keys, cuts)[::2])
-    at = np.unique(_LOW - (np.concatenate(chosen) & _LOW)) if chosen else np.zeros(0, np.int64)
+        n = counts[short]
+        starts = np.cumsum(n) - n
+        own = np.arange(n.sum()) + np.repeat(bounds[short] - starts, n)
+        least = np.repeat(np.minimum.reduceat(hashes[own], starts), n)
+        chosen.append(np.maximum.reduceat(np.where(hashes[own] == least, own, -1), starts))
+    at = T.distinct(np.concatenate(chosen))
     return at, hashes[at]
 
 
@@ -65,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     """(doc_id, pos, fingerprint), a row for each chosen k-gram; pos is its first character in the lower-cased text.
 
     A text with fewer than `window` k-grams is one window; a null or empty text, or one of under k word
-    characters, gives no row. Rows with a null doc_id, and repeated rows, are each fingerprinted. Columns other
+    characters, gives no row; a very long one is fingerprinted as a whole. Rows with a null doc_id, and repeated rows, are each fingerprinted. Columns other
     than doc_id and text are not read. An empty table gives an empty result.
     """
     tuned(docs.sparkSession)
@@ -87,18 +101,23 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 def sql(k: int = K, window: int = WINDOW) -> str:
-    """The same rows by DuckDB; k is a power of two here."""
-    steps, size, last = [], 1, "h1"
-    while size < k:
-        name = f"h{2 * size}"
-        steps.append(f"{name} AS (SELECT r, doc_id, pos, j, (h * {pow(BASE, size, PRIME)} + lead(h, {size}) OVER (PARTITION BY r ORDER BY j)) % {PRIME} AS h FROM {last})")
-        size, last = 2 * size, name
+    """The same rows by DuckDB, with lists for each document and no sort; k and window are powers of two here."""
+    pair = lambda x, n: f"list_zip({x}[1:greatest(0, len({x}) - {n})], {x}[{n} + 1:])"
+    steps, last = [], "h1"
+    for size in (1 << i for i in range(k.bit_length() - 1)):
+        each = (f"list_transform({pair(x, size)}, lambda y: (y[1] * {pow(BASE, size, p)} + y[2]) % {p}) AS {x}" for x, p in zip("ab", PRIMES))
+        steps.append(f"h{2 * size} AS (SELECT doc_id, pos, {', '.join(each)} FROM {last})")
+        last = f"h{2 * size}"
+    steps.append(f"m1 AS (SELECT doc_id, pos, a, b, list_transform(list_zip(a, b, range(len(a))), lambda y: (y[1] * 2147483648 + y[2])::HUGEINT * 4294967296 + (4294967295 - y[3])) AS x FROM {last} WHERE len(a) > 0)")
+    last = "m1"
+    for size in (1 << i for i in range(window.bit_length() - 1)):
+        least = f"CASE WHEN len(a) < {window} THEN [list_min(x)] ELSE list_transform({pair('x', size)}, lambda y: least(y[1], y[2])) END AS x"
+        steps.append(f"m{2 * size} AS (SELECT doc_id, pos, a, b, {least} FROM {last})")
+        last = f"m{2 * size}"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(lower(text), '') AS cs FROM documents),
-e AS (SELECT r, doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS pos FROM d),
-h1 AS (SELECT r, doc_id, pos, row_number() OVER (PARTITION BY r ORDER BY pos) - 1 AS j, unicode(c)::BIGINT % {PRIME} AS h FROM e WHERE regexp_matches(c, '{T.WORD}')),
+WITH d AS (SELECT doc_id, string_split(lower(text), '') AS cs FROM documents),
+e AS (SELECT doc_id, list_filter(list_zip(cs, range(len(cs))), lambda y: regexp_matches(y[1], '{T.WORD}')) AS z FROM d),
+h1 AS (SELECT doc_id, list_transform(z, lambda y: y[2]) AS pos, list_transform(z, lambda y: unicode(y[1])::BIGINT) AS a, list_transform(z, lambda y: unicode(y[1])::BIGINT) AS b FROM e),
 {", ".join(steps)},
-g AS (SELECT *, count(*) OVER (PARTITION BY r) AS n FROM {last} WHERE h IS NOT NULL),
-m AS (SELECT r, j, n, min(h * 4294967296 + (4294967295 - j)) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS best FROM g),
-b AS (SELECT DISTINCT r, 4294967295 - best % 4294967296 AS j FROM m WHERE j <= greatest(0, n - {window}))
-SELECT g.doc_id, g.pos::INT AS pos, g.h AS fingerprint FROM b JOIN g USING (r, j)"""
+u AS (SELECT doc_id, pos, unnest(list_distinct(x)) AS x FROM {last})
+SELECT doc_id, pos[(4294967295 - x % 4294967296)::BIGINT + 1]::INT AS pos, (x // 4294967296)::BIGINT AS fingerprint FROM u"""

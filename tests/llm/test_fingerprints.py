@@ -12,10 +12,13 @@ def brute(text, k, window):
     kept = [(p, ord(ch)) for p, ch in enumerate(text.lower()) if re.fullmatch(r"[0-9a-z_\x80-\U0010FFFF]", ch)]
     hashes = []
     for i in range(len(kept) - k + 1):
-        h = 0
-        for _, x in kept[i : i + k]:
-            h = (h * fp.BASE + x) % fp.PRIME
-        hashes.append(h)
+        own = []
+        for p in fp.PRIMES:
+            h = 0
+            for _, x in kept[i : i + k]:
+                h = (h * fp.BASE + x) % p
+            own.append(h)
+        hashes.append(own[0] * 2**31 + own[1])
     chosen = set()
     for i in range(max(1, len(hashes) - window + 1)) if hashes else ():
         part = hashes[i : i + window]
