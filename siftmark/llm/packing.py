@@ -1,7 +1,7 @@
 """Packing of documents into training sequences: first-fit decreasing in randomised groups.
 
-Lengths are counted on executors and only (doc_id, length) rows are shuffled, never texts. Each group is packed by
-itself with a tournament tree over the free space of its bins, so a piece takes O(log bins) steps.
+Lengths are counted on executors and only (doc_id, length) rows are shuffled, never texts. Rows that are alike are
+counted before they are drawn, so that copies of one row don't make a group of their own. Each group is packed by itself with a tournament tree over the free space of its bins, so a piece takes O(log bins) steps.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftmark.llm.shared import tuned
 
 CAPACITY, GROUP, SEED = 2048, 20_000, 7
+TOGETHER = 1000  # so many copies of a row at most are drawn as one
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 SCHEMA = "group_id long, bin long, doc_id long, piece int, start long, length int, offset int"
 
@@ -43,6 +44,7 @@ def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Longest first; equal lengths by doc_id (null first), then piece."""
+    rows = rows.loc[rows.index.repeat(rows["copies"])]
     ids = rows["doc_id"].astype("Int64")
     order = np.lexsort((rows["piece"].to_numpy(), ids.fillna(0).to_numpy(np.int64), ids.notna().to_numpy(), -rows["length"].to_numpy()))
     rows = rows.iloc[order].reset_index(drop=True)
@@ -51,11 +53,14 @@ def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(key, doc_id, piece, start, length): a document of more than `capacity` tokens is cut into full pieces and a rest."""
+    """(key, copies, doc_id, piece, start, length): a document of more than `capacity` tokens is cut into full pieces and a
+    rest. copies rows are alike, and key is what they are drawn by."""
     text = docs["text"].cast("string")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text, F.lit(SEED)).alias("key"), F.regexp_count(text, F.lit(TOKEN)).alias("n")).where("n > 0")
-    rows = rows.select("key", "doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
-    return rows.select("key", "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
+    rows = rows.groupBy("key", "doc_id", "n").agg(F.count("*").alias("times")).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / TOGETHER).cast("int"))).alias("part"))
+    copies = F.least(F.lit(TOGETHER), F.col("times") - F.col("part") * TOGETHER).cast("int").alias("copies")
+    rows = rows.select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), copies, "doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    return rows.select("key", "copies", "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -64,8 +69,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
 
     A token is a word or a mark. Groups, of about `group` documents, are drawn by a hash of doc_id and text, so
     a rerun draws the same. Null, empty and blank texts have no tokens and are in no bin. Rows with a null
-    doc_id are packed with it; repeated rows are each packed and, being alike, share a group. Other columns are
-    not read; an empty table gives none.
+    doc_id are packed with it; repeated rows are each packed, up to TOGETHER of them in one group. Very long texts are cut
+    into pieces. Other columns are not read; an empty table gives none.
     """
     tuned(docs.sparkSession)
     groups = max(1, -(-docs.count() // group))

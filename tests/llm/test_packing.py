@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -56,6 +56,18 @@ def test_a_rerun_draws_the_same_groups(spark):
     assert a == b
 
 
+def test_many_copies_of_a_row_and_a_very_long_text(spark):
+    docs = spark.range(30_000).selectExpr("7L AS doc_id", "'one and the same row' AS text").unionAll(spark.createDataFrame([(1, "w " * 400_000), (2, None), (None, "")], SCHEMA))
+    got = packing.pack(docs, 2048, 500).collect()
+    assert sum(r.length for r in got if r.doc_id == 7) == 150_000 and sum(r.length for r in got if r.doc_id == 1) == 400_000
+    groups = Counter(r.group_id for r in got if r.doc_id == 7)
+    assert len(groups) > 10 and max(groups.values()) <= 5 * packing.TOGETHER
+    bins = Counter()
+    for r in got:
+        bins[r.group_id, r.bin] += r.length
+    assert max(bins.values()) <= 2048
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = spark.createDataFrame([(1, "a b", 3, 4)], "doc_id long, text string, key int, group_id int")
