@@ -20,6 +20,7 @@ from siftmark.llm.shared import tuned
 
 OPEN, BREAK, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 TARGET = "assistant"
+MOST_BYTES = (1 << 31) - 1
 SCHEMA = "conv_id long, n_turns int, text string, target_starts array<int>, target_lengths array<int>"
 
 
@@ -52,8 +53,10 @@ def assemble(rows: pa.Table) -> pa.RecordBatch:
     _constant(out, at[1:] - len(CLOSE), CLOSE)
     first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1)) if len(key) else np.zeros(0, np.int64)
     ends = np.append(first[1:], len(key)).astype(np.int64)
-    offsets = np.append(at[first], at[-1]).astype(np.int32)
-    texts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
+    offsets = np.append(at[first], at[-1])
+    if np.diff(offsets).max(initial=0) > MOST_BYTES:
+        raise ValueError(f"a conversation of more than {MOST_BYTES} bytes doesn't fit a string column")
+    texts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
     target = np.flatnonzero(pc.equal(role, TARGET).to_numpy(zero_copy_only=False))
     conv = np.searchsorted(first, target, "right") - 1
     bounds = pa.array(np.searchsorted(conv, np.arange(len(first) + 1)).astype(np.int32))
@@ -90,7 +93,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns sort by turn (null first), then role, then text, so ties and repeated rows have a fixed place; repeated
     rows are all kept. A null role becomes "unknown", a null text an empty one. Line breaks in a role become
     spaces and "<|" in a role or text becomes "< |", so that no content passes for a header. Turns with a null
-    conv_id belong to no conversation and are left out. Other columns are not read; an empty table gives none.
+    conv_id belong to no conversation and are left out. Very long turns are taken whole; a conversation of over 2 GiB,
+    which no string can hold, is an error. Other columns are not read; an empty table gives none.
     """
     tuned(turns.sparkSession)
     tame = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))

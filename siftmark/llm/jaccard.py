@@ -282,7 +282,7 @@ def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(out.select("hi", "lo", F.coalesce("rhi", "hi").alias("rhi"), F.coalesce("rlo", "lo").alias("rlo"), "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "grouped")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, links), a row for every row of docs.
 
     links is the number of other rows that have with it that Jaccard index of their sets of n-grams of words, `threshold`
@@ -298,7 +298,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     tuned(docs.sparkSession)
     signed = signatures(docs, n, threshold, recall)
     classes = classes_of(signed)
-    grouped = _grouped(classes, links_of(docs, classes, n, threshold, recall))
+    grouped = _grouped(classes, links_of(docs, classes, n, threshold, recall, True, block))
     least = grouped.groupBy("rhi", "rlo").agg(F.min("least").alias("class_id"))
     found = grouped.join(least, ["rhi", "rlo"]).select("hi", "lo", "class_id", "links", F.lit(True).alias("found"))
     doc_id = named(F.col("id"), F.col("h"))
@@ -333,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """The rows of docs, with all their columns, less all but the first document, by doc_id, of each class of join().
 
     Null doc_ids come last, by a hash of the text. Rows repeated in doc_id and text are one document, of which one row
@@ -344,7 +344,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     own_id, own_h, mark = fresh(docs, "_id", "_h", "_mark")
     signed = signatures(docs, n, threshold, recall)
     classes = classes_of(signed)
-    grouped = _grouped(classes, links_of(docs, classes, n, threshold, recall, count=False))
+    grouped = _grouped(classes, links_of(docs, classes, n, threshold, recall, False, block))
     first = grouped.select("hi", "lo", "rhi", "rlo").join(classes.select("hi", "lo", "id", "h"), ["hi", "lo"])
     first = first.groupBy("rhi", "rlo").agg(F.min(F.struct("id", "h")).alias("head"))
     found = grouped.select("hi", "lo", "rhi", "rlo").join(first, ["rhi", "rlo"]).select("hi", "lo", "head")

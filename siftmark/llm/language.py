@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import tuned
+from siftmark.llm.shared import fresh, mapped, quoted, tuned
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.5
 TRAIN_ROWS = 20_000
 LEAST_CONFIDENCE = 0.5
-LARGEST_MODEL = 1 << 30
-LETTERS = "_siftmark_letters"
+TOGETHER, MOST_KEPT = 64, 8  # languages of a table, and tables that a task keeps
 
 
 def buckets(points: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
@@ -41,11 +40,35 @@ def buckets(points: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """languages, their log priors, and log P(bucket | language) with a last bucket that counts nothing."""
+    """languages, their log priors and totals, and the n-grams counted in each: row, bucket and number, by row.
+
+    Tables of log P(bucket | language) are made of these for TOGETHER languages at a time, with a last bucket that counts
+    nothing; so many languages take more time and not more memory.
+    """
 
     languages: list[str]
     prior: np.ndarray
-    table: np.ndarray
+    totals: np.ndarray
+    row: np.ndarray
+    bucket: np.ndarray
+    n: np.ndarray
+
+    def tables(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first language, table) for all languages."""
+        kept = self.__dict__.setdefault("_kept", {})
+        for low in range(0, len(self.languages), TOGETHER):
+            if low not in kept:
+                high = min(low + TOGETHER, len(self.languages))
+                a, b = np.searchsorted(self.row, [low, high])
+                table = np.full((high - low, (1 << BITS) + 1), np.log(ALPHA))
+                table[self.row[a:b] - low, self.bucket[a:b]] = np.log(self.n[a:b] + ALPHA)
+                table -= np.log(self.totals[low:high] + ALPHA * (1 << BITS))[:, None]
+                table[:, -1] = 0
+                if low >= MOST_KEPT * TOGETHER:
+                    yield low, table.astype(np.float32)
+                    continue
+                kept[low] = table.astype(np.float32)
+            yield low, kept[low]
 
     def scores(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text under each language, and its number of n-grams."""
@@ -54,22 +77,25 @@ class Model:
         if not len(texts):
             return out, total
         at = bounds[texts]
-        for order in ORDERS:
-            b = buckets(points, bounds, order)
+        each = [buckets(points, bounds, order) for order in ORDERS]
+        for b in each:
             total[texts] += np.add.reduceat((b < 1 << BITS).astype(np.int64), at)
-            for k, row in enumerate(self.table):
-                out[texts, k] += np.add.reduceat(row[b], at, dtype=np.float64)
+        for low, table in self.tables():
+            for b in each:
+                for k, row in enumerate(table, low):
+                    out[texts, k] += np.add.reduceat(row[b], at, dtype=np.float64)
         return out, total
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Counts of n-grams by language on about `rows` labelled documents, drawn by a hash of doc_id, or on all
-    where there are fewer. Rows with a null lang or text are not labelled rows."""
+    """Counts of n-grams by language on about `rows` labelled documents, drawn by a hash of doc_id and text, or on all
+    where there are fewer; so many labels at most there can be, and the model is no larger than their n-grams. Rows with a
+    null lang or text are not labelled rows. An empty table gives a model of no language."""
     tuned(docs.sparkSession)
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
     total = docs.where(docs["lang"].isNotNull()).count()
     if total > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(rows / total * (1 << 20)) + 1)
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(17), "text"), F.lit(1 << 20)) < int(rows / total * (1 << 20)) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -93,16 +119,16 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     counts = labelled.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = counts["lang"].combine_chunks().dictionary_encode()
-    languages = sorted(names.dictionary.to_pylist())
-    if len(languages) * 4 << BITS > LARGEST_MODEL:
-        raise ValueError(f"{len(languages)} languages make a model of over {LARGEST_MODEL} bytes")
-    place = np.array([languages.index(x) for x in names.dictionary.to_pylist()], np.int64)
-    table = np.zeros((len(languages), (1 << BITS) + 1))
-    if languages:
-        table[place[names.indices.to_numpy()], counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    prior = np.log(table[:, -1:].ravel() / max(1, table[:, -1].sum())) if languages else np.zeros(0)
-    table = np.log(table[:, :-1] + ALPHA) - np.log(table[:, :-1].sum(1, keepdims=True) + ALPHA * (1 << BITS))
-    return Model(languages, prior, np.hstack((table, np.zeros((len(languages), 1)))).astype(np.float32))
+    found = names.dictionary.to_pylist()
+    languages = sorted(found)
+    where = {x: k for k, x in enumerate(languages)}
+    row = np.array([where[x] for x in found], np.int64)[names.indices.to_numpy()] if found else np.zeros(0, np.int64)
+    order = np.argsort(row, kind="stable")
+    row, bucket, n = row[order], counts["bucket"].to_numpy()[order], counts["n"].to_numpy()[order]
+    own = bucket == 1 << BITS
+    texts = np.bincount(row[own], n[own], len(languages))
+    row, bucket, n = row[~own], bucket[~own], n[~own]
+    return Model(languages, np.log(texts / max(1, texts.sum())), np.bincount(row, n, len(languages)), row.astype(np.int32), bucket, n)
 
 
 def _identified(column: pa.Array, letter: np.ndarray, model: Model, least: float) -> tuple[pa.Array, ...]:
@@ -130,7 +156,8 @@ def identify(docs: DataFrame, model: Model, least: float = LEAST_CONFIDENCE) ->
     language. keep is false, and lang null, for those, and for null, empty or blank texts and texts without
     a letter; keep is also false where confidence is under `least`. Languages that tie go to the first by name.
     Without any labelled row nothing can be rejected but such texts, and lang is null. Rows with a null doc_id
-    and repeated rows each give a row. Columns other than doc_id and text are not read.
+    and repeated rows each give a row. A very long text is scored as a whole. Columns other than doc_id and text are not
+    read. An empty table gives none.
     """
     spark = tuned(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
@@ -147,21 +174,23 @@ def identify(docs: DataFrame, model: Model, least: float = LEAST_CONFIDENCE) ->
 
 def keep(docs: DataFrame, model: Model, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """The rows of docs, with all their columns, that identify() keeps; lang is what it found, or what docs has where
-    there is no labelled row to know a language by. Nothing is shuffled."""
+    there is no labelled row to know a language by. Nothing is shuffled. Null, empty and very long texts, repeated rows and
+    an empty table are as there. Names of other columns don't matter."""
     spark = tuned(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
     place = {c: docs.columns.index(c) for c in ("text", "lang")}
     text = docs["text"].cast("string")
-    fields = ", ".join(f"`{c.replace('`', '``')}` {'string' if i in place.values() else t}" for i, (c, t) in enumerate(docs.dtypes))
-    rows = docs.select(*(docs[c].cast("string").alias(c) if c in place else docs[c] for c in docs.columns), text.rlike(r"\p{L}").alias(LETTERS))
+    fields = ", ".join(f"{quoted(c)} {'string' if i in place.values() else t}" for i, (c, t) in enumerate(docs.dtypes))
+    (letters,), docs_columns = fresh(docs, "_letters"), docs.columns
+    rows = docs.select(*(docs[quoted(c)].cast("string").alias(c) if c in place else docs[quoted(c)] for c in docs.columns), text.rlike(r"\p{L}").alias(letters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letter = T.column_of(batch, LETTERS).fill_null(False).to_numpy(zero_copy_only=False)
+            letter = batch.column(batch.num_columns - 1).fill_null(False).to_numpy(zero_copy_only=False)
             names, _, _, kept = _identified(batch.column(place["text"]), letter, sent.value, least)
             columns = batch.columns[:-1]
             if sent.value.languages:
                 columns[place["lang"]] = names
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(kept)
+            yield pa.RecordBatch.from_arrays(columns, docs_columns).filter(kept)
 
-    return rows.mapInArrow(run, fields)
+    return mapped(rows, run, fields)

@@ -21,6 +21,7 @@ from siftmark.llm.shared import tuned
 
 BITS, RANK, WORD_VALUE = 18, 8, 0.3
 TRAIN_ROWS = 20_000
+MOST_SENT = 200_000  # labels that are sent to all tasks; more are joined by a shuffle
 EPOCHS, BATCH, RATE, DECAY = 4, 128, 0.1, 1e-6
 STEPS = 100  # at least, as a small table has few in EPOCHS
 DOUBT = 5.0  # a word of n labelled texts counts n / (n + DOUBT): few texts say little, but not nothing
@@ -43,7 +44,7 @@ def _bucket(kind: int, value: np.ndarray) -> np.ndarray:
 def _hash(column: pa.Array) -> np.ndarray:
     """A number for each string; null is one as well."""
     names = column.fill_null("\0null").dictionary_encode()
-    own = np.array([int.from_bytes(x.encode()[:64], "little") % ((1 << 61) - 1) + len(x) for x in names.dictionary.to_pylist()], np.uint64)
+    own = np.array([int.from_bytes(x.encode(), "little") % ((1 << 61) - 1) + len(x) for x in names.dictionary.to_pylist()], np.uint64)
     return own[names.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -170,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         share = there["toxic"] / max(some, 1), others / max(rows - some, 1)
         drawn = [own.where(c).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", *HEADS).limit(k) for c, k in ((is_toxic, some), (~is_toxic, rows - some))]
         own = drawn[0].unionAll(drawn[1])
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_columns(docs)).join(F.broadcast(own), "doc_id")  # of `rows` rows at most
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_columns(docs)).join(F.broadcast(own) if rows <= MOST_SENT else own, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +196,8 @@ def classify(docs: DataFrame, machine: Machine | None, least: float = LEAST_QUAL
 
     Null and empty texts have quality 0.0 and toxicity 0.0 and aren't kept; without a machine the probabilities of
     others are null and they are kept. Rows with a null doc_id and repeated rows each give a row. Where source
-    or lang is null or missing, that is a value of its own. Other columns are not read. An empty table gives none.
+    or lang is null or missing, that is a value of its own. A very long text is scored as a whole. Other columns are
+    not read. An empty table gives none.
     """
     spark = tuned(docs.sparkSession)
     sent = spark.sparkContext.broadcast(machine)

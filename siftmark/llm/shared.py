@@ -82,6 +82,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), which takes no names with dots; run finds columns by place."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of docs has one."""
     taken, out = {c.lower() for c in docs.columns}, []

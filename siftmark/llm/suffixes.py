@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import changes, fresh, identity, materialise, named, tuned, whole
+from siftmark.llm.shared import changes, fresh, identity, mapped, materialise, named, tuned, whole
 
 LENGTH, K = 50, 10
 RUNS = 2000  # about so many kinds of runs have their suffixes sorted together, and at most so many of one anchor
@@ -346,12 +346,11 @@ def _without(column: pa.Array, cuts: pa.Array, length: int) -> tuple[pa.Array, n
     return pa.concat_arrays(pieces), np.concatenate(left)
 
 
-def _cut(index: int, length: int, count: int | None):
+def _cut(names: list[str], index: int, length: int, count: int | None):
     """Drops the spans of each row's last column from its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names[:-1]
             cuts = batch.column(batch.num_columns - 1)
             columns = batch.columns[:-1]
             has = pc.greater(pc.list_value_length(cuts), 0)
@@ -381,7 +380,7 @@ def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     rows = docs.select("*", id.alias(own_id), h.alias(own_h)).join(found.hint("shuffle_hash"), [own_id, own_h], "left").drop(own_id, own_h)
     rows = rows.withColumn(own_cuts, F.coalesce(own_cuts, F.array().cast("array<struct<pos:int,n:int>>")))
     count = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
-    return rows.mapInArrow(_cut(docs.columns.index("text"), length, count), docs.schema)
+    return mapped(rows, _cut(docs.columns, docs.columns.index("text"), length, count), docs.schema)
 
 
 SQL = rf"""

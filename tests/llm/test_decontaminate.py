@@ -12,7 +12,7 @@ def brute(docs, tests, n, share, slack):
     out = []
     for i, test in tests:
         q = (test or "").lower().split()
-        if i is None or not q:
+        if not q:
             continue
         size, terms = min(n, len(q)), set(q)
         asked = {tuple(q[k : k + size]) for k in range(len(q) - size + 1)}
@@ -26,8 +26,8 @@ def brute(docs, tests, n, share, slack):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed,most", [(1, 10**6), (2, 10), (3, 25)])
-def test_matches_and_rounds_against_brute_force(spark, seed, most):
+@pytest.mark.parametrize("seed,most,shard", [(1, 10**6, 10**6), (2, 10, 1), (3, 25, 60)])
+def test_matches_rounds_and_shards_against_brute_force(spark, seed, most, shard):
     r = random.Random(seed)
     words = ["w%d" % k for k in range(25)]
     tests = [(k, " ".join(r.choice(words) for _ in range(r.randint(1, 9)))) for k in range(8)] + [(None, "w1 w2"), (9, None), (10, "")]
@@ -39,18 +39,28 @@ def test_matches_and_rounds_against_brute_force(spark, seed, most):
         docs.append((d, " ".join(w)))
     docs += [(None, tests[0][1]), (3, docs[3][1]), (50, None), (51, "")]
     a, b = spark.createDataFrame(docs, DOCS).repartition(2), spark.createDataFrame(tests, TESTS)
-    got = sorted((tuple(x) for x in decontaminate.matches(a, b, 4, 0.8, 1.5, most).collect()), key=str)
+    got = sorted((tuple(x) for x in decontaminate.matches(a, b, 4, 0.8, 1.5, most, shard).collect()), key=str)
     assert got == brute(docs, tests, 4, 0.8, 1.5) and len(got) > 10
     hit = {x[0] for x in got}
-    kept = sorted((x.doc_id for x in decontaminate.clean(a, b, 4, 0.8, 1.5, most).collect() if x.doc_id is not None))
+    kept = sorted((x.doc_id for x in decontaminate.clean(a, b, 4, 0.8, 1.5, most, shard).collect() if x.doc_id is not None))
     assert kept == sorted(d for d, _ in docs if d is not None and d not in hit)
 
 
 def test_long_texts_empty_tables_and_other_columns(spark):
     passage = "one two three four five six seven eight nine"
-    docs = spark.createDataFrame([(1, "x " * 300_000 + passage, 1), (2, "y " * 10, 1)], DOCS + ", item_id int")
+    docs = spark.createDataFrame([(1, "x " * 300_000 + passage, 1, "u"), (2, "y " * 10, 1, "u")], DOCS + ", item_id int, `a.b` string")
     tests = spark.createDataFrame([(7, passage)], TESTS)
     assert [(r.doc_id, r.item_id, r.first_pos) for r in decontaminate.matches(docs, tests).collect()] == [(1, 7, 300_000)]
     assert decontaminate.clean(docs, tests).columns == docs.columns
     assert decontaminate.matches(docs, tests.where("false")).collect() == [] and decontaminate.matches(docs.where("false"), tests).collect() == []
     assert decontaminate.clean(docs, tests.where("false")).count() == 2
+
+
+def test_many_tests_at_once(spark):
+    """As many phrase and proximity queries as terms, against brute force; a test that is one frequent word is one too."""
+    r = random.Random(9)
+    words = ["w%d" % k for k in range(120)]
+    tests = [(k, " ".join(r.choice(words) for _ in range(r.choice([1, 2, 12, 40])))) for k in range(150)]
+    docs = [(d, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for d in range(60)] + [(100 + k, " ".join(r.sample(tests[k][1].split(), len(tests[k][1].split())))) for k in range(40)]
+    found = decontaminate.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(tests, TESTS))
+    assert sorted(map(tuple, found.collect()), key=str) == brute(docs, tests, 8, 0.8, 1.5)

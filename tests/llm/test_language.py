@@ -46,7 +46,7 @@ def test_held_out_accuracy(spark):
 def test_rejects_what_is_in_no_known_language_and_keeps_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.train(docs)
-    odd = spark.createDataFrame([(1, "漢字仮名交文東京都知事選挙 " * 5, "x", 1), (2, "1234 5678 !!", "x", 1), (3, "", "x", 1), (None, None, "x", 1), (4, "the and of the tion and the", "x", 1), (4, "the and of the tion and the", "x", 1)], SCHEMA + ", letters int")
+    odd = spark.createDataFrame([(1, "漢字仮名交文東京都知事選挙 " * 5, "x", 1), (2, "1234 5678 !!", "x", 1), (3, "", "x", 1), (None, None, "x", 1), (4, "the and of the tion and the", "x", 1), (4, "the and of the tion and the", "x", 1)], SCHEMA + ", _letters int")
     kept = language.keep(odd, model)
     assert kept.columns == odd.columns and [(r.doc_id, r.lang) for r in kept.collect()] == [(4, "en"), (4, "en")]
     assert language.keep(odd.where("false"), model).collect() == []
@@ -54,6 +54,19 @@ def test_rejects_what_is_in_no_known_language_and_keeps_columns(spark):
     assert {r.doc_id for r in language.keep(odd, nothing).collect()} == {1, 4}
 
 
+def test_more_languages_than_a_table_holds(spark, monkeypatch):
+    """300 labels: their posteriors are those of one table, and each text is told by words of its own."""
+    rows = [(i, f"{chr(0x4E00 + i) * 9} the same words", "l%03d" % i) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.train(docs)
+    ((_, points, bounds),) = T.codepoints(pa.array([t for _, t, _ in rows]))
+    parts = model.scores(points, bounds)[0]
+    assert len(list(model.tables())) == 5 and (parts.argmax(1) == np.arange(300)).mean() > 0.99
+    monkeypatch.setattr(language, "TOGETHER", 1000)
+    model.__dict__.pop("_kept")
+    assert np.allclose(model.scores(points, bounds)[0], parts)
+
+
 def test_a_long_text(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog " * 50_000, "en"), (2, "der hund und die katze", "de")], SCHEMA)
     assert {r.doc_id: r.lang for r in language.identify(docs, language.train(docs)).collect()} == {1: "en", 2: "de"}

@@ -7,7 +7,7 @@ import corpus_pipeline
 from siftmark.llm import decontaminate, jaccard, language, packing, suffixes
 
 from .test_jaccard import brute as near_pairs
-from .test_jaccard import expand, groups_by_pairs
+from .test_jaccard import groups_by_pairs
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[0-9a-z_\x80-\U0010FFFF]+")
@@ -89,10 +89,11 @@ def test_removal_of_cased_and_marked_text(spark):
 
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_stages_take_empty_null_and_clashing_input(spark, stage):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, h int, keep string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, h int, keep string, `meta.url` string, _id int, _h int, _letters int"
     empty = spark.createDataFrame([], schema)
     assert stage(spark, empty, SF).collect() == []
-    rows = [(None, None, None, None, None, 1, 1, "k"), (1, "", "en", "s", 0, 1, 1, "k"), (1, "the same words here", "en", "s", 19, 1, 1, "k"), (1, "the same words here", "en", "s", 19, 1, 1, "k")]
+    rest = (1, 1, "k", "u", 1, 1, 1)
+    rows = [(None, None, None, None, None, *rest), (1, "", "en", "s", 0, *rest), (1, "the same words here", "en", "s", 19, *rest), (1, "the same words here", "en", "s", 19, *rest), (2, "long " * 200_000, "en", "s", 10**6, *rest)]
     out = stage(spark, spark.createDataFrame(rows, schema), SF)
     assert out.columns == packing_columns() if stage is corpus_pipeline.packed else out.columns == empty.columns
     out.collect()

@@ -48,8 +48,10 @@ def got(spark, rows, length, k):
     return sorted((tuple(r) for r in suffixes.repeats(spark.createDataFrame(rows, SCHEMA), length, k).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_passages_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,most", [(0, 2000), (1, 1), (2, 3), (3, 2000), (3, 2)])
+def test_passages_against_brute_force(spark, seed, most, monkeypatch):
+    """Anchors of more than `most` kinds of runs are cut into blocks."""
+    monkeypatch.setattr(suffixes.spans, "__defaults__", (suffixes.LENGTH, suffixes.K, most))
     r = random.Random(seed)
     words = ["w%d" % i for i in range(3 if seed == 3 else 60)]
     shared = [[r.choice(words) for _ in range(r.randint(8, 40))] for _ in range(6)]
@@ -71,5 +73,15 @@ def test_long_texts_repeated_lines_and_an_empty_table(spark):
 
 
 def test_extra_columns(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id long, text string, id int, anchor string")
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x", "u"), (2, "a b c d e f", 6, "y", "u")], "doc_id long, text string, id int, anchor string, `a.b` string")
+    assert [tuple(r) for r in suffixes.remove(docs, 5, 2).collect()] == [(1, "a b c d e f", 5, "x", "u")]
     assert [tuple(r) for r in suffixes.repeats(docs, 5, 2).collect()] == [(2, 0, 6, 1, 0)]
+
+
+def test_a_passage_that_many_documents_share(spark):
+    """Each of 20,000 documents has it among words of its own, and 20,000 more are all alike."""
+    passage = " ".join(f"p{i}" for i in range(55))
+    near = spark.range(20_000).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(1, 30), x -> 'a' || id || 'x' || x), '{passage}', transform(sequence(1, 30), x -> 'b' || id || 'x' || x)) AS text")
+    alike = spark.range(20_000).selectExpr("id + 50000 AS doc_id", "concat_ws(' ', transform(sequence(1, 70), x -> 'c' || x)) AS text")
+    found = suffixes.repeats(near.unionAll(alike)).groupBy("start", "length", "first_doc_id", "first_start").count().collect()
+    assert {tuple(r) for r in found} == {(30, 55, 0, 30, 19_999), (0, 70, 50_000, 0, 19_999)}
