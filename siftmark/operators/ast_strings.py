@@ -6,8 +6,9 @@ import ast
 import warnings
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.operators.findings import secret_findings
@@ -62,6 +63,25 @@ def strings(source: str) -> list[tuple[int, str, bool]]:
     return out
 
 
+SHAPE = "array<struct<line:int,value:string,is_concat:boolean>>"
+
+
+def strings_of(source: Column) -> Column:
+    """The strings of a source; null for a null."""
+
+    def tell(text: str) -> list[dict]:  # what UTF-8 can't hold is dropped, as it can't be in a secret
+        return [{"line": n, "value": v.encode("utf-8", "ignore").decode(), "is_concat": c} for n, v, c in strings(text)]
+
+    def each(sources: pd.Series) -> pd.Series:
+        return sources.map(tell, na_action="ignore")
+
+    return F.pandas_udf(each, SHAPE)(source)
+
+
+def is_python(path: Column) -> Column:
+    return path.endswith(".py")
+
+
 def ast_strings(files: DataFrame) -> DataFrame:
     """(file, line, value, is_concat) of the files named *.py. Null texts have none."""
 
@@ -73,7 +93,7 @@ def ast_strings(files: DataFrame) -> DataFrame:
                 clean = [v.encode("utf-8", "ignore").decode() for _, _, v, _ in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array(clean, pa.string()), pa.array([r[3] for r in rows], pa.bool_())], ["file", "line", "value", "is_concat"])
 
-    rows = files.where(F.col("file").endswith(".py") & F.col("text").isNotNull()).select("file", "text")
+    rows = files.where(is_python(F.col("file")) & F.col("text").isNotNull()).select("file", "text")
     return rows.mapInArrow(run, "file string, line int, value string, is_concat boolean")
 
 

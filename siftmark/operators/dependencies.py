@@ -10,14 +10,35 @@ from siftmark.functions.text import base_name, days_between, explode_lines
 from siftmark.operators.findings import findings
 
 PYPI, NPM = "PyPI", "npm"
+ANSWERS = "registry string, package string, http_status int, created_at timestamp_ntz, fetched_at timestamp_ntz"
+REGISTRY = "registry string, package string, http_status int, created_at timestamp_ntz"
+
+
+def is_requirements(path: Column) -> Column:
+    return base_name(path) == "requirements.txt"
+
+
+def is_package_json(path: Column) -> Column:
+    return base_name(path) == "package.json"
+
+
+def required(line: Column) -> Column:
+    """The name that a line of a requirements.txt begins with; empty where there is none."""
+    return F.regexp_extract(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), "^([a-zA-Z0-9._-]+)", 1)
+
+
+def declared(text: Column) -> Column:
+    """Array of the keys of both sections of a package.json, each once."""
+    read = F.from_json(text, "dependencies map<string,string>, devDependencies map<string,string>")
+    keys = lambda c: F.coalesce(F.map_keys(read[c]), F.array().cast("array<string>"))
+    return F.array_union(keys("dependencies"), keys("devDependencies"))
 
 
 def from_requirements(files: DataFrame, strict: bool = False) -> DataFrame:
     """(file, registry, package, ord): the name that each line of a requirements.txt begins with, repeated ones too.
     With strict, lines that begin with an option have none."""
-    lines = explode_lines(files.where(base_name(F.col("file")) == "requirements.txt").select("file", "text"))
-    line = F.regexp_replace("line_text", r"(?U)^\s+|\s+$", "")
-    rows = lines.select("file", F.lit(PYPI).alias("registry"), F.regexp_extract(line, "^([a-zA-Z0-9._-]+)", 1).alias("package"), F.col("line").alias("ord"))
+    lines = explode_lines(files.where(is_requirements(F.col("file"))).select("file", "text"))
+    rows = lines.select("file", F.lit(PYPI).alias("registry"), required(F.col("line_text")).alias("package"), F.col("line").alias("ord"))
     rows = rows.where("package <> ''")
     return rows.where(~F.col("package").startswith("-")) if strict else rows
 
@@ -25,10 +46,8 @@ def from_requirements(files: DataFrame, strict: bool = False) -> DataFrame:
 def from_package_json(files: DataFrame) -> DataFrame:
     """(file, registry, package, ord): keys of both sections of a package.json, each once. Text that isn't a JSON
     object has none; a section that is null or missing is empty."""
-    read = F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>")
-    keys = lambda c: F.coalesce(F.map_keys(read[c]), F.array().cast("array<string>"))
-    rows = files.where((base_name(F.col("file")) == "package.json") & (F.length("text") > 0))
-    rows = rows.select("file", F.posexplode(F.array_union(keys("dependencies"), keys("devDependencies"))).alias("_pos", "package"))
+    rows = files.where(is_package_json(F.col("file")) & (F.length("text") > 0))
+    rows = rows.select("file", F.posexplode(declared(F.col("text"))).alias("_pos", "package"))
     return rows.select("file", F.lit(NPM).alias("registry"), "package", (F.col("_pos") + 1).cast("int").alias("ord"))
 
 
@@ -43,7 +62,7 @@ def first_upload(payloads: DataFrame) -> DataFrame:
     return payloads.select("registry", "package", "http_status", F.when(F.col("registry") == PYPI, pypi).otherwise(npm).cast("timestamp_ntz").alias("created_at"))
 
 
-def _risk(status: Column, created: Column, as_of: str) -> Column:
+def risk(status: Column, created: Column, as_of: str) -> Column:
     """(severity, message) or null: missing packages are critical, those under 30 days high, under 90 medium."""
     age = days_between(F.lit(as_of).cast("timestamp_ntz"), created)
     told = lambda severity, *text: F.struct(F.lit(severity).alias("severity"), F.concat(*text).alias("message"))
@@ -55,7 +74,7 @@ def _risk(status: Column, created: Column, as_of: str) -> Column:
 def check(packages: DataFrame, registry: DataFrame, as_of: str) -> DataFrame:
     """Findings of packages whose registry answered 404 or first saw them lately; unknown packages give none. The
     registry has a row for each package; as_of is the time to count from."""
-    found = packages.join(registry, ["registry", "package"], "left").withColumn("_risk", _risk(F.col("http_status"), F.col("created_at"), as_of)).where("_risk IS NOT NULL")
+    found = packages.join(registry, ["registry", "package"], "left").withColumn("_risk", risk(F.col("http_status"), F.col("created_at"), as_of)).where("_risk IS NOT NULL")
     return findings(found, "dependency", registry="registry", package="package", severity="_risk.severity", message="_risk.message", rule_ord="ord")
 
 
@@ -67,9 +86,21 @@ def cached(packages: DataFrame, cache: DataFrame, as_of: str, offline: bool, hou
     return rows.withColumn("severity", F.when(F.col("state") != "unknown", F.col("severity"))).select("registry", "package", "state", "severity")
 
 
+def answers(packages: DataFrame, cache: DataFrame, snapshot: DataFrame | None, as_of: str, offline: bool, hours: int = 24) -> DataFrame:
+    """(registry, package, http_status, created_at, fetched_at) of packages: what the cache says where it is fresh, or
+    offline whatever its age, else what the snapshot says, fetched now. Packages that neither knows are left out."""
+    old = F.lit(as_of).cast("timestamp_ntz") - F.col("fetched_at") > F.expr(f"INTERVAL '{hours}' HOUR")
+    held = packages.join(cache, ["registry", "package"]).where(F.lit(offline) | ~old).select([c.split()[0] for c in ANSWERS.split(", ")])
+    if snapshot is None or offline:
+        return held
+    asked = packages.join(held, ["registry", "package"], "left_anti").join(snapshot, ["registry", "package"])
+    return held.unionByName(asked.select("registry", "package", "http_status", "created_at", F.lit(as_of).cast("timestamp_ntz").alias("fetched_at")))
+
+
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Both, the latest row of each package; of rows of the same time that of the gravest text order first."""
-    latest = Window.partitionBy("registry", "package").orderBy(F.desc("fetched_at"), "severity")
+    """Both, the latest row of each package; of rows of the same time the one whose other columns come first."""
+    rest = [c for c in cache.columns if c not in ("registry", "package", "fetched_at")]
+    latest = Window.partitionBy("registry", "package").orderBy(F.desc("fetched_at"), *rest)
     return cache.unionByName(new).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmark.functions.text import base_name, directory, glob_regex
+from siftmark.functions.text import base_name, directory, explode_lines, glob_regex
 
 MOST_BYTES = 10 * 1024 * 1024
 TEXT_SUFFIXES = ("bash", "js", "json", "log", "md", "ps1", "py", "sh", "ts", "txt", "yaml", "yml")
@@ -41,6 +41,12 @@ def parse_ignore(text: str) -> list[str]:
     return [p for p in map(str.strip, text.splitlines()) if p and not p.startswith("#")]
 
 
+def ignore_patterns(files: DataFrame, name: str) -> DataFrame:
+    """(file, ord, pattern) of the ignore files of a name: their lines, trimmed, without blank ones and comments."""
+    lines = explode_lines(files.where(base_name(F.col("file")) == name).select("file", "text"))
+    return lines.select("file", F.col("line").alias("ord"), F.regexp_replace("line_text", r"(?U)^\s+|\s+$", "").alias("pattern")).where("pattern <> '' AND NOT startswith(pattern, '#')")
+
+
 def ignored(path: Column, patterns: list[str], mode: str = "compat") -> Column:
     """Whether a path is ignored. compat: the first pattern that fits decides, on the whole path, its last part, or a
     directory with a slash at its end that the path begins with. gitignore: the last that fits decides, a name without a

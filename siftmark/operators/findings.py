@@ -14,10 +14,11 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 CHECKS = ("dependency", "secret", "agent_rule", "docker")
 
 
-def findings(df: DataFrame, check: str, **columns: Column | str) -> DataFrame:
-    """df in the shape of findings; columns say what the fields are, others are null."""
+def findings(df: DataFrame, check: str, /, **columns: Column | str) -> DataFrame:
+    """df in the shape of findings; columns say what the fields are, others are null. Without a name for all, check and
+    check_ord are among the columns."""
     kinds = dict(c.split() for c in SCHEMA.split(", "))
-    given = {"check": F.lit(check), "check_ord": F.lit(CHECKS.index(check)), **columns}
+    given = ({"check": F.lit(check), "check_ord": F.lit(CHECKS.index(check))} if check else {}) | columns
     value = lambda c: F.col(given[c]) if isinstance(given[c], str) else given[c]
     return df.select(*((value(c) if c in given else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS))
 
@@ -56,6 +57,11 @@ def titled(df: DataFrame) -> DataFrame:
     return df.withColumns({"title": title, "location": where})
 
 
+def lines(df: DataFrame) -> DataFrame:
+    """(severity, headline, location): the severity to a width of ten before the title."""
+    return titled(df).select("severity", F.concat(F.rpad(F.coalesce("severity", F.lit("INFO")), 10, " "), F.lit(" "), "title").alias("headline"), "location")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """A JSON object for each finding; fields that are null are left out."""
     return df.select(F.to_json(F.struct(*(c for c in df.columns if c not in ("check_ord", "rule_ord")))).alias("finding"))

@@ -9,14 +9,15 @@ from pyspark.sql.window import Window
 from siftmark.functions.text import base_name, directory
 from siftmark.operators.files import above
 
-KINDS = ("file", "dir", "absent", "literal", "forbidden")
+KINDS = ("file", "dir", "absent", "literal", "forbidden", "pattern", "unlike")
 
 
 def violations(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(check_id, kind, path, literal, message) of the manifest rows that the tree breaks.
 
     file and dir ask for a path, absent forbids one. literal asks for a text in a file, forbidden for its absence; a
-    missing file breaks literal and not forbidden. A directory exists where a file is below it.
+    missing file breaks literal and not forbidden. pattern and unlike do the same by regular expressions, in which (?i)
+    leaves case out. A directory exists where a file is below it.
     """
     places = manifest.select("path").distinct()
     dirs = files.where(F.col("file").contains("/")).select(F.explode(above(F.col("file"))).alias("path")).where("path <> ''").join(places, "path", "left_semi").distinct()
@@ -26,6 +27,8 @@ def violations(files: DataFrame, manifest: DataFrame) -> DataFrame:
     is_file, is_dir = F.col("is_dir") == F.lit(False), F.col("is_dir") == F.lit(True)
     has = F.coalesce(F.contains(F.col("text"), F.col("literal")), F.lit(False))
     broken = F.when(F.col("kind") == "file", ~F.coalesce(is_file, F.lit(False))).when(F.col("kind") == "dir", ~F.coalesce(is_dir, F.lit(False))).when(F.col("kind") == "absent", F.col("is_dir").isNotNull()).when(F.col("kind") == "literal", ~has).when(F.col("kind") == "forbidden", has)
+    fits = F.coalesce(F.regexp_like("text", "literal"), F.lit(False))
+    broken = broken.when(F.col("kind") == "pattern", ~fits).when(F.col("kind") == "unlike", fits)
     return joined.where(broken).select("check_id", "kind", "path", "literal", "message").distinct()
 
 
@@ -46,6 +49,17 @@ def parity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").where("_a IS NULL OR _b IS NULL").select(key, F.when(F.col("_a").isNull(), "left").otherwise("right").alias("missing_in"))
 
 
+def audit(required: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """(section, ok, problems, items): a row for each section of a report that never fails, with how many of its items
+    are problems and which, in order. parts: problems by section, in their first column; required: (section) of all."""
+    told = None
+    for section, rows in parts.items():
+        one = rows.select(F.lit(section).alias("section"), F.col(rows.columns[0]).cast("string").alias("item"))
+        told = one if told is None else told.unionAll(one)
+    counted = told.groupBy("section").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("item")), ", ").alias("items"))
+    return required.join(counted, "section", "left").select("section", F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("problems"), F.coalesce("items", F.lit("")).alias("items"))
+
+
 def misplaced(files: DataFrame, name: str, place: str) -> DataFrame:
     """Files of a name that lie outside a place, which is a directory path at any depth."""
     return files.where((base_name(F.col("file")) == name) & ~F.concat(F.lit("/"), directory(F.col("file")), F.lit("/")).contains(f"/{place}/")).select("file")
@@ -62,11 +76,11 @@ def mirror_problems(metadata: DataFrame, files: DataFrame) -> DataFrame:
 def text_issues(files: DataFrame, key: str, data: str = "data") -> DataFrame:
     """(key, issue) of binary contents: bom, invalid_utf8, nul, mixed_eol."""
     raw = F.col(data).cast("binary")
-    code = F.regexp_replace(F.hex(raw), "(..)", "$1 ")  # bytes apart, so that a search finds whole ones
-    crlf, lf = (F.regexp_count(code, F.lit(x)) for x in ("0D 0A ", "0A "))
+    byte = lambda *x: F.lit(bytearray(x))
+    bare = F.replace(raw.cast("string"), F.lit("\r\n"), F.lit(""))  # strings are compared by their bytes, valid or not
     issues = F.array(
-        F.when(code.startswith("EF BB BF "), "bom"), F.when(~F.is_valid_utf8(raw), "invalid_utf8"),
-        F.when(code.contains("00 "), "nul"), F.when((crlf > 0) & (lf > crlf), "mixed_eol"),
+        F.when(F.startswith(raw, byte(0xEF, 0xBB, 0xBF)), "bom"), F.when(~F.is_valid_utf8(raw), "invalid_utf8"),
+        F.when(F.contains(raw, byte(0)), "nul"), F.when(F.contains(raw, byte(0x0D, 0x0A)) & F.contains(bare, F.lit("\n")), "mixed_eol"),
     )
     return files.select(key, F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"))
 
@@ -84,7 +98,8 @@ def unexpected(files: DataFrame, expected: DataFrame) -> DataFrame:
 def copy_plan(files: DataFrame, mapping: DataFrame, existing: DataFrame) -> DataFrame:
     """(source, target, action) for mapping (source_dir, target_dir, overwrite): files below source_dir go below target_dir;
     action is create, overwrite or keep. Nothing is copied."""
-    joined = files.select(F.col("file").alias("source")).join(mapping, F.expr("startswith(source, concat(source_dir, '/'))"))
+    below = files.where(F.col("file").contains("/")).select(F.col("file").alias("source"), F.explode(above(F.col("file"))).alias("source_dir"))
+    joined = below.join(mapping, "source_dir")
     planned = joined.withColumn("target", F.concat("target_dir", F.expr("substring(source, char_length(source_dir) + 1)")))
     there = existing.select(F.col("file").alias("target"), F.lit(True).alias("_there")).distinct()
     action = F.when(F.col("_there").isNull(), "create").when(F.col("overwrite"), "overwrite").otherwise("keep")

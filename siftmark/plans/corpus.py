@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmark.sources.tables import read_table
+
 PLACES = ("tests", "chat_log", "examples", "src", "docs")
 SUFFIXES = (".md", ".py", ".txt", ".log", ".yml", ".rs", ".env")
 AS_OF = "2026-01-01 00:00:00"
@@ -15,7 +17,7 @@ AS_OF = "2026-01-01 00:00:00"
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files (file, text): place/source/doc_id.suffix, place and suffix by doc_id."""
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     return docs.select(F.concat(pick(PLACES), F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), pick(SUFFIXES)).alias("file"), "text")
 
 
@@ -74,6 +76,13 @@ MANIFEST = [
     (1, "file", "Dockerfile", None, "no Dockerfile"), (2, "file", "LICENSE", None, "no license"), (3, "dir", ".agent", None, "no agent directory"), (4, "dir", "Dockerfile", None, "not a directory"), (5, "absent", "app/readme.md", None, "old readme"),
     (6, "absent", "gone", None, "gone is there"), (7, "literal", ".agent/rules.md", "Ask first", "no question"), (8, "literal", ".agent/rules.md", "rollback", "no rollback"), (9, "literal", "none.md", "x", "no file"), (10, "forbidden", ".agent/rules.md", "DROP TABLE", "drops tables"), (11, "forbidden", "none.md", "x", "has x"),
 ]
+MANIFEST_SCHEMA = "check_id int, kind string, path string, literal string, message string"
+MANIFEST_PATTERNS = [
+    (1, "pattern", ".agent/rules.md", "(?i)ASK +first", "no question"), (2, "unlike", ".agent/rules.md", "(?i)drop +table", "drops tables"), (3, "pattern", ".agent/rules.md", "(?i)roll-?back", "no rollback"), (4, "unlike", "none.md", "x", "has x"), (5, "pattern", "none.md", "x", "no file"),
+]
+ENCODED = [("guide.md", "Prüfe zuerst – dann handle.\n先に確認する。"), ("broken.md", "PrÃ¼fe zuerst â€“ dann handle.")]
+PROBES = [(1, "literal", "guide.md", "Prüfe zuerst –", "not as it was written"), (2, "literal", "broken.md", "Prüfe zuerst –", "not as it was written"), (3, "forbidden", "guide.md", "Ã¼", "decoded twice"), (4, "forbidden", "broken.md", "Ã¼", "decoded twice"), (5, "literal", "guide.md", "先に確認", "not as it was written")]
+IGNORE_FILES = [("a/.siftmarkignore", "# all\n\n  *.log  \n!keep.log\r\nbuild/\n\t\n#x"), ("b/other", "*.x"), (".siftmarkignore", "")]
 IGNORE = ["!examples/src7/*", "examples/*", "*.log", "docs/src4/", "chat_log", "!tests/src5/*", "tests/src?/1*"]
 IGNORE_DIRS = ["chat_log/src[0-4]", "!examples/src7/*", "examples", "*.env"]
 BLOCK_FILES = [
@@ -118,7 +127,7 @@ def cache(spark: SparkSession) -> DataFrame:
 
 
 def manifest(spark: SparkSession) -> DataFrame:
-    return table(spark, MANIFEST, "check_id int, kind string, path string, literal string, message string")
+    return table(spark, MANIFEST, MANIFEST_SCHEMA)
 
 
 def sql_values(rows: list[tuple], columns: str) -> str:

@@ -12,6 +12,7 @@ from siftmark.operators import ast_strings as py
 from siftmark.operators import blocks, dependencies, files, findings, layout, rules
 from siftmark.plans import corpus as c
 from siftmark.plans import scans
+from siftmark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,7 +67,7 @@ def _files(rows: list[tuple[str, str]]) -> str:
 
 @query(f"SELECT doc_id, count(*) AS n_lines, sum(line)::BIGINT AS line_sum, max(length(line_text))::INT AS longest, sum(length(line_text))::BIGINT AS chars FROM {_lines('documents', 'doc_id')} GROUP BY doc_id")
 def lines_explode(spark, sf):
-    lines = tx.explode_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    lines = tx.explode_lines(read_table(spark, f"{sf}/documents.parquet").select("doc_id", "text"))
     n = F.char_length("line_text")
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("line").alias("line_sum"), F.max(n).alias("longest"), F.sum(n).alias("chars"))
 
@@ -103,14 +104,14 @@ def secret_false_positive_filter(spark, sf):
 
 @query(f"SELECT file, line, rule_name, severity, {MASK} AS value_preview FROM {_matches(f"(SELECT 'conv/' || conv_id || '/' || turn AS file, text FROM conversations UNION ALL {_files(c.CHAT_FILES)})", ALL)}")
 def secret_scan_chat(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("file"), "text")
+    turns = read_table(spark, f"{sf}/conversations.parquet").select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("file"), "text")
     found = rules.match_files(turns.unionByName(c.files(spark, c.CHAT_FILES)), ALL)
     return found.select("file", "line", "rule_name", "severity", tx.mask(F.col("matched")).alias("value_preview"))
 
 
 @query(f"SELECT file, line, rule_name, severity, {MASK} AS value_preview FROM {_matches('(SELECT url AS file, html AS text FROM pages)', ALL)}")
 def secret_scan_pages(spark, sf):
-    found = rules.match_files(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("file"), F.col("html").alias("text")), ALL)
+    found = rules.match_files(read_table(spark, f"{sf}/pages.parquet").select(F.col("url").alias("file"), F.col("html").alias("text")), ALL)
     return found.select("file", "line", "rule_name", "severity", tx.mask(F.col("matched")).alias("value_preview"))
 
 
@@ -130,10 +131,10 @@ def agent_rules_scan(spark, sf):
     return scans.scan_agent_rules(tree).select("file", "line", "rule_name", "severity", "matched_content", "remediation")
 
 
-@query(f"SELECT file, line, rule_name, severity, matched FROM {_matches(DOCS, rules.AGENT)}")
+@query(f"SELECT file, line, rule_name, severity, matched FROM {_matches(f'({DOCS} UNION ALL {_files(c.AGENT_FILES)})', rules.AGENT)}")
 def agent_rules_documents(spark, sf):
-    """Every document taken for a rule file, as a single target is."""
-    return rules.match_files(c.documents(spark, sf), rules.AGENT).select("file", "line", "rule_name", "severity", "matched")
+    """Every document, and every small file, taken for a rule file, as a single target is."""
+    return rules.match_files(c.documents(spark, sf).unionByName(c.files(spark, c.AGENT_FILES)), rules.AGENT).select("file", "line", "rule_name", "severity", "matched")
 
 
 @query(f"SELECT file, line, rule_name, severity, advice AS message FROM {_matches(_where(f'({_files(c.DOCKER_FILES)} UNION ALL {DOCS})', DOCKER_FILE), rules.DOCKER)}")
@@ -178,7 +179,7 @@ def package_json_parse(spark, sf):
 
 @query(f"SELECT registry, package, severity, message FROM {_CHECKED} WHERE severity IS NOT NULL")
 def dependency_age(spark, sf):
-    return scans.scan_dependencies(c.files(spark, c.PACKAGE_FILES)).select("registry", "package", "severity", "message")
+    return scans.scan_dependencies(c.files(spark, c.PACKAGE_FILES), _how(spark)).select("registry", "package", "severity", "message")
 
 
 @query(c.sql_values([("PyPI", "a", 200, "2019-05-01 10:00:00"), ("PyPI", "b", 200, None), ("PyPI", "c", 404, None), ("PyPI", "d", 200, None), ("npm", "e", 200, "2025-12-25 01:02:03.456000"), ("npm", "f", 200, None)], "registry, package, http_status, created_at").replace("SELECT *", "SELECT registry, package, http_status, created_at::TIMESTAMP AS created_at")[1:-1])
@@ -236,6 +237,11 @@ def ignore_dir_prune(spark, sf):
     return c.documents(spark, sf).where(~files.pruned(F.col("file"), c.IGNORE_DIRS)).select("file")
 
 
+@query(f"SELECT file, line AS ord, trim(line_text, chr(9) || chr(10) || chr(13) || ' ') AS pattern FROM {_lines(_where(_files(c.IGNORE_FILES), NAME + " = '.siftmarkignore'"))} _ WHERE regexp_matches(line_text, '^\\s*[^#\\s]')")
+def ignore_file_parse(spark, sf):
+    return files.ignore_patterns(c.files(spark, c.IGNORE_FILES), ".siftmarkignore")
+
+
 @query(f"SELECT file FROM {DOCS} WHERE starts_with(file, 'docs/src4/')")
 def path_containment(spark, sf):
     return c.documents(spark, sf).where(files.inside(F.col("file"), "docs/src4")).select("file")
@@ -244,7 +250,7 @@ def path_containment(spark, sf):
 @query(f"SELECT doc_id, strlen(text)::INT AS n_bytes FROM documents WHERE strlen(text) <= {files.MOST_BYTES} AND strlen(text) > 0")
 def size_cap(spark, sf):
     n = F.octet_length("text")
-    return spark.read.parquet(f"{sf}/documents.parquet").where(files.small_enough(n) & (n > 0)).select("doc_id", n.alias("n_bytes"))
+    return read_table(spark, f"{sf}/documents.parquet").where(files.small_enough(n) & (n > 0)).select("doc_id", n.alias("n_bytes"))
 
 
 # Findings of a whole scan
@@ -272,8 +278,12 @@ def _tree(spark, sf):
     return tree
 
 
-def _full(spark, sf):
-    return scans.full_scan(_tree(spark, sf))
+def _how(spark, severity="INFO"):
+    return scans.Scan(registry=c.registry(spark), as_of=c.AS_OF, severity=severity)
+
+
+def _full(spark, sf, severity="INFO"):
+    return scans.full_scan(_tree(spark, sf), _how(spark, severity))
 
 
 @query(f'SELECT "check", {", ".join(SHORT)} FROM {_FULL}')
@@ -283,7 +293,7 @@ def full_scan_union(spark, sf):
 
 @query(f'SELECT "check", file, line, rule_ord, package, severity FROM {_FULL} WHERE {RANK} <= 1')
 def severity_threshold(spark, sf):
-    return findings.at_least(_full(spark, sf), "HIGH").select("check", "file", "line", "rule_ord", "package", "severity")
+    return _full(spark, sf, "HIGH").select("check", "file", "line", "rule_ord", "package", "severity")
 
 
 @query(f"SELECT severity, count(*) AS n FROM {_FULL} GROUP BY severity")
@@ -298,7 +308,7 @@ def severity_sorted(spark, sf):
 
 @query(f"SELECT (count(*) > 0)::INT AS exit_code FROM {_FULL} WHERE {RANK} = 0")
 def exit_code(spark, sf):
-    return findings.exit_code(findings.at_least(_full(spark, sf), "CRITICAL"))
+    return findings.exit_code(_full(spark, sf, "CRITICAL"))
 
 
 @query(f"SELECT coalesce(pattern_name, rule_name, package, 'Issue') AS title, CASE WHEN line IS NOT NULL THEN file || ':' || line ELSE coalesce(file, 'N/A') END AS location, severity FROM {_FULL}")
@@ -306,6 +316,11 @@ def finding_title_loc(spark, sf):
     return findings.titled(_full(spark, sf)).select("title", "location", "severity")
 
 
+@query(f"SELECT severity, rpad(coalesce(severity, 'INFO'), 10, ' ') || ' ' || coalesce(pattern_name, rule_name, package, 'Issue') AS headline, CASE WHEN line IS NOT NULL THEN file || ':' || line ELSE coalesce(file, 'N/A') END AS location FROM {_FULL}")
+def report_headlines(spark, sf):
+    return findings.lines(_full(spark, sf))
+
+
 @query()
 def findings_json(spark, sf):
     return findings.as_json(_full(spark, sf))
@@ -313,7 +328,7 @@ def findings_json(spark, sf):
 
 @query(f"SELECT * FROM ({' UNION ALL '.join([_shape('secret', _matches(_where(_files(c.DEMO_FILES), TEXT_FILE), ALL), file='file', line='line', pattern_name='rule_name', severity='severity'), _shape('dependency', _where(_CHECKED, "severity IS NOT NULL AND registry = 'PyPI'"), package='package', severity='severity'), _shape('agent_rule', _matches(_where(_files(c.DEMO_FILES), AGENT_FILE), rules.AGENT), file='file', line='line', rule_name='rule_name', severity='severity'), _shape('docker', _matches(_where(_files(c.DEMO_FILES), DOCKER_FILE), rules.DOCKER), file='file', line='line', rule_name='rule_name', severity='severity')])}) _".replace("SELECT * FROM", 'SELECT "check", file, line, coalesce(pattern_name, rule_name, package) AS title, severity FROM', 1))
 def demo_scan(spark, sf):
-    return findings.titled(scans.full_scan(c.demo(spark))).select("check", "file", "line", "title", "severity")
+    return findings.titled(scans.full_scan(c.demo(spark), _how(spark))).select("check", "file", "line", "title", "severity")
 
 
 # Layout
@@ -381,6 +396,36 @@ def copy_plan(spark, sf):
     return layout.copy_plan(tree, c.table(spark, c.MAPPING, "source_dir string, target_dir string, overwrite boolean"), c.table(spark, c.EXISTING, "file string"))
 
 
+_PATTERNS = c.sql_values(c.MANIFEST_PATTERNS, "check_id, kind, path, literal, message")
+
+
+@query(f"SELECT check_id, kind, path, message FROM {_PATTERNS} m WHERE (kind = 'pattern') <> EXISTS (SELECT 1 FROM {_WITH_TEXT} f WHERE f.file = m.path AND regexp_matches(f.text, m.literal))")
+def contract_patterns(spark, sf):
+    """Regular expressions, case left out."""
+    tree = c.files(spark, c.AGENT_FILES).unionByName(c.files(spark, c.DOCKER_FILES))
+    return layout.violations(tree, c.table(spark, c.MANIFEST_PATTERNS, c.MANIFEST_SCHEMA)).select("check_id", "kind", "path", "message")
+
+
+@query(f"SELECT check_id, kind, path, message FROM {c.sql_values(c.PROBES, 'check_id, kind, path, literal, message')} m WHERE (kind = 'literal') <> EXISTS (SELECT 1 FROM {_files(c.ENCODED)} f WHERE f.file = m.path AND contains(f.text, m.literal))")
+def encoding_probes(spark, sf):
+    """Sentences that are there as they were written, and not decoded twice."""
+    return layout.violations(c.files(spark, c.ENCODED), c.table(spark, c.PROBES, c.MANIFEST_SCHEMA)).select("check_id", "kind", "path", "message")
+
+
+_SECTIONS = [("missing",), ("misplaced",), ("parity",), ("unexpected",)]
+
+
+@query(f"""WITH p AS (SELECT 'missing' AS section, path AS item FROM {_BROKEN} _ WHERE kind IN ('file', 'dir')
+UNION ALL SELECT 'misplaced', file FROM {c.sql_values(c.SKILL_FILES, 'file')} _ WHERE {NAME} = 'SKILL.md' AND NOT contains('/' || file, '/.agents/skills/')
+UNION ALL SELECT 'parity', skill FROM (SELECT coalesce(a.skill, b.skill) AS skill FROM {c.sql_values(c.SKILLS[0], 'skill')} a FULL JOIN {c.sql_values(c.SKILLS[1], 'skill')} b ON a.skill = b.skill WHERE a.skill IS NULL OR b.skill IS NULL) _)
+SELECT section, count(item) = 0 AS ok, count(item) AS problems, coalesce(string_agg(DISTINCT item, ', ' ORDER BY item), '') AS items FROM {c.sql_values(_SECTIONS, 'section')} s LEFT JOIN p USING (section) GROUP BY section""")
+def path_audit(spark, sf):
+    """A report that never fails: each section, whether it is in order, and what isn't."""
+    left, right = (c.table(spark, x, "skill string") for x in c.SKILLS)
+    parts = {"missing": _layout(spark).where("kind IN ('file', 'dir')").select("path"), "misplaced": layout.misplaced(c.table(spark, c.SKILL_FILES, "file string"), "SKILL.md", ".agents/skills"), "parity": layout.parity(left, right, "skill").select("skill")}
+    return layout.audit(c.table(spark, _SECTIONS, "section string"), parts)
+
+
 # Blocks
 
 _BLOCK_LINES = _lines(_files(c.BLOCK_FILES))
@@ -438,11 +483,11 @@ _ISSUES = [("a", "bom"), ("b", "invalid_utf8"), ("c", "nul"), ("d", "mixed_eol")
 def text_integrity_new(spark, sf):
     """Issues of the documents and some bytes, less a baseline; the bytes against rows derived by hand."""
     raw = c.table(spark, _RAW, "file string, code string").select("file", F.unhex("code").alias("data"))
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("data"))
+    docs = read_table(spark, f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.col("text").cast("binary").alias("data"))
     return layout.regressions(layout.text_issues(docs.unionByName(raw), "file"), c.table(spark, [("c", "nul"), ("z", "bom")], "file string, issue string"))
 
 
 @query("""SELECT event_id, user_id, n <= 30 AND size <= 2000 OR k <= 5 AS retained FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, sum(strlen(props)) OVER (PARTITION BY user_id) AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) _""")
 def worklog_retention(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = read_table(spark, f"{sf}/events.parquet")
     return layout.retained(events, "user_id", [F.desc("ts"), F.desc("event_id")], 30, 5, F.octet_length("props"), 2000).select("event_id", "user_id", "retained")

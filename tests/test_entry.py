@@ -14,6 +14,12 @@ def test_entry_works_without_the_llm_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
+def test_entry_works_where_a_module_that_llm_needs_is_missing(tmp_path):
+    (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'secret_scan' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{ROOT}"})
+
+
 def test_smoke(spark):
     import __spark_entry__ as e
 

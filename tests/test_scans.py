@@ -188,7 +188,7 @@ def test_command_line(spark, tmp_path):
     os.remove(tmp_path / "fits.txt")
     code, out = run(["scan", root, "--format", "json"])
     rows = json.loads(out)
-    assert code == 1 and {r["check"] for r in rows} == set(findings.CHECKS) and any(r.get("file") == ".hidden/_x.md" for r in rows)
+    assert code == 1 and {r["check"] for r in rows} == {"secret", "agent_rule", "docker"} and any(r.get("file") == ".hidden/_x.md" for r in rows)
     assert all(None not in r.values() for r in rows)
     (tmp_path / cli.IGNORE_FILE).write_text("*\n")
     assert run(["scan", root])[0] == 0 and run(["scan", root, "--no-ignore", "--severity", "CRITICAL", "--no-color"])[0] == 1
@@ -196,8 +196,67 @@ def test_command_line(spark, tmp_path):
     assert run(["scan", str(tmp_path / "none")])[0] == 2
     code, out = run(["demo", "--no-color"])
     assert code == 0 and "Destructive command" in out and out.strip().splitlines()[-1].startswith("CRITICAL: ")
-    (tmp_path / "cache").mkdir()
-    assert run(["cache-clear", str(tmp_path / "cache")])[0] == 0 and not (tmp_path / "cache").exists()
+
+
+def test_packages_by_registry_and_cache(spark, tmp_path):
+    root = str(tree(tmp_path))
+    os.remove(tmp_path / "fits.txt")
+    table = str(tmp_path.parent / f"{tmp_path.name}-registry")
+    corpus.registry(spark).write.parquet(table)
+    deps = ["check-deps", root, "--no-color"]
+    assert run(deps) == (0, "Nothing found.\n")  # nothing is known of packages
+    code, out = run([*deps, "--registry", table, "--as-of", corpus.AS_OF])
+    assert code == 1 and "ghostly-lib-77" in out and "flask" in out
+    assert run([*deps, "--offline", "--as-of", "2026-01-09 00:00:00"])[1].count("ghostly-lib-77") == 1  # from the cache, however old
+    assert run([*deps, "--as-of", "2026-01-09 00:00:00"]) == (0, "Nothing found.\n")  # too old
+    other = tmp_path / "kept"
+    other.mkdir()
+    assert run(["cache-clear", str(other)])[0] == 0 and other.exists()
+    assert run(["cache-clear", root])[0] == 0 and not (tmp_path / cli.CACHE_DIR).exists() and (tmp_path / "requirements.txt").exists()
+
+
+def test_rules_of_the_user_and_the_gate(spark, tmp_path):
+    root = str(tree(tmp_path))
+    os.remove(tmp_path / "fits.txt")
+    (tmp_path / "rules.json").write_text(json.dumps([{"name": "First", "pattern": "^Ask", "severity": "CRITICAL", "remediation": "don't"}, {"name": "Broken", "pattern": "("}]))
+    code, out = run(["check-rules", root, "--agent-rules", str(tmp_path / "rules.json"), "--format", "json"])
+    assert code == 1 and [(r["rule_name"], r["line"], r["remediation"]) for r in json.loads(out)] == [("First", 3, "don't")]
+    assert run(["gate", root, "--no-color"])[0] == 1 and run(["install-hook", root])[0] == 2
+    (tmp_path / ".git").mkdir()
+    assert run(["install-hook", root])[0] == 0 and os.access(tmp_path / ".git/hooks/pre-commit", os.X_OK)
+
+
+def test_patterns_that_look_at_their_place_and_bad_ones(spark):
+    table = tuple(rules.Rule(p, p, "HIGH") for p in ("^secret", "secret$", "(?<=x)secret", r"\Asecret", "[^a]secret", "("))
+    found = rules.match_files(corpus.files(spark, [("a", "first\nsecret here"), ("b", "a\nmy xsecret\nb")]), table)
+    assert {(r.file, r.line, r.rule_name) for r in found.collect()} == {("a", 2, "^secret"), ("a", 2, r"\Asecret"), ("b", 2, "secret$"), ("b", 2, "(?<=x)secret"), ("b", 2, "[^a]secret")}
+    assert rules.match_values(corpus.table(spark, [("secret",)], "value string"), "value", ()).count() == 0
+
+
+def test_one_pass_gives_what_the_scans_give(spark):
+    everything = spark.createDataFrame([r for rows in (corpus.CHAT_FILES, corpus.AGENT_FILES, corpus.DOCKER_FILES, corpus.PACKAGE_FILES, corpus.PYTHON_FILES) for r in rows] + [(None, "x"), ("a.md", None)], "file string, text string")
+    for severity in ("INFO", "HIGH"):
+        how = scans.Scan(registry=corpus.registry(spark), as_of=corpus.AS_OF, severity=severity, patterns=["deploy/*"])
+        parts = [scan(everything, how) for scan in (scans.scan_dependencies, scans.scan_secrets, scans.scan_agent_rules, scans.scan_docker)]
+        assert sorted(map(str, scans.full_scan(everything, how).collect())) == sorted(map(str, findings.union(*parts).collect())) and parts[1].count()
+    plan = scans.full_scan(everything, how)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [file") + plan.count("LocalRelation [file") == 1 and "Card number" not in plan
+
+
+def test_ignored_directories_are_not_entered(spark, tmp_path):
+    root = str(tree(tmp_path))
+    assert {r.file for r in read_repo(spark, root, ignore="chats\n!.agent\n.*\n").collect()} >= {".agent/rules.md", "requirements.txt"}
+    assert not any(r.file.startswith(("chats/", ".hidden/")) for r in read_repo(spark, root, ignore="chats\n!.agent\n.*\n").collect())
+    beside = tmp_path.parent / f"{tmp_path.name}-evil"
+    beside.mkdir()
+    (beside / "x.txt").write_text("x")
+    os.symlink(beside / "x.txt", tmp_path / "link.txt")
+    assert [r.text for r in read_repo(spark, root).where("file = 'link.txt'").collect()] == [None]
+
+
+def test_manifest_by_patterns_and_an_audit(spark):
+    manifest = corpus.table(spark, [(1, "pattern", ".agent/rules.md", "(?i)ASK FIRST", "a"), (2, "unlike", ".agent/rules.md", "(?i)drop +table", "b"), (3, "pattern", "none.md", "x", "c"), (4, "unlike", "none.md", "x", "d")], "check_id int, kind string, path string, literal string, message string")
+    assert sorted(r.check_id for r in layout.violations(corpus.files(spark, corpus.AGENT_FILES), manifest).collect()) == [2, 3]
 
 
 def test_long_words_take_linear_time(spark):
@@ -221,6 +280,6 @@ def test_stream_scans_each_document_once(spark, tmp_path):
 
 def test_rows_with_nulls_and_empty_tables(spark):
     odd = corpus.files(spark, [("a.md", None), (None, "AKIA" + "ABCDEFGH23456789"), ("b.md", ""), (None, None)])
-    for scan in (scans.scan_secrets, scans.scan_agent_rules, scans.scan_docker, scans.scan_dependencies):
+    for scan in (scans.scan_secrets, scans.scan_agent_rules, scans.scan_docker, scans.scan_dependencies, scans.full_scan):
         assert scan(odd).count() == 0 and scan(odd.where("false")).count() == 0
     assert rules.match_files(odd, rules.SECRETS).count() == 1
