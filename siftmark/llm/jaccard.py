@@ -307,30 +307,32 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     return rows.unionAll(signed.where("hi IS NULL").select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
+def _starry(edges: DataFrame) -> bool:
+    """Whether every node has either one greater end of an edge or only lesser ones, so that each v is a root."""
+    ends = edges.select("u", F.lit(1).alias("out")).unionAll(edges.select("v", F.lit(0)))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.count("*").alias("all")).where("out > 1 OR out = 1 AND all > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (u, v) but the roots: root is the least node that can be reached.
 
-    Large and small stars in turn until nothing changes, each round written to the shared folder and the one before it
-    deleted; the number of rounds grows with the logarithm of the longest path. The least neighbour of a node is found
-    by an aggregation and joined back, so that one with very many neighbours is no task of its own.
+    Large and small stars in turn until all edges lead to roots, each round written to the shared folder and the one
+    before it deleted; the number of rounds grows with the logarithm of the longest path. The least neighbour of a node is
+    found by an aggregation and joined back, so that one with very many neighbours is no task of its own.
     """
     spark, kind = edges.sparkSession, edges.schema
-    path = written(edges.where("u <> v"), "edges")
-    before = None
-    while True:
-        edges = spark.read.schema(kind).parquet(path)
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    path = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _starry(edges := spark.read.schema(kind).parquet(path)):
+        both = edges.unionAll(edges.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = both.where("v > u").join(least, "u").select(v.alias("u"), m.alias("v")).where("u <> v").distinct()
         small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
-        pair = lambda a: F.struct(F.col(a).alias("u"), F.col("m").alias("v"))
-        new = written(small.select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        new = written(small.select(F.explode(F.array(pair(u, m), pair(v, m))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
         discard(path)
         path = new
-        state = spark.read.schema(kind).parquet(path).agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or not state[0]:
-            return spark.read.schema(kind).parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    return edges.select(u.alias("node"), v.alias("root"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
