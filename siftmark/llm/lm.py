@@ -333,15 +333,16 @@ def _score(depth: int, near: int, parts: int):
             each = bits[np.searchsorted(grams, u)][at]
             sums.append(np.where(n > 0, np.add.reduceat(each, np.cumsum(n + 1) - n - 1, dtype=np.float64), 0.0))
         n, total = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0), *sums])
-        return pa.table({"doc_id": docs["doc_id"], "n_symbols": pa.array(n), "bits": pa.array(total), "bits_per_symbol": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+        return pa.table({"doc_id": docs["doc_id"], "bits_per_symbol": pa.array(total / np.maximum(n, 1), mask=n == 0), "bits": pa.array(total), "n_symbols": pa.array(n)})
 
     return run
 
 
 def score(docs: DataFrame, tree: Tree) -> DataFrame:
-    """(doc_id, n_symbols, bits, bits_per_symbol) for every row of docs; bits is -log2 P of the text with its end.
+    """(doc_id, bits_per_symbol, bits, n_symbols) for every row of docs; bits is -log2 P of the text with its end, and
+    bits_per_symbol, the score, is its share of a symbol.
 
-    A null or empty text has 0 symbols, 0 bits and a null bits_per_symbol. Rows with a null doc_id and repeated
+    A very long text is scored as a whole. A null or empty text has 0 symbols, 0 bits and a null bits_per_symbol. Rows with a null doc_id and repeated
     rows each give a row. Columns other than doc_id and text are not read. An empty table gives an empty result,
     and trained on one the tree gives every symbol the same probability.
     """
@@ -352,4 +353,4 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
     asked = rows.groupBy("own").applyInArrow(_ask(tree.depth, tree.near, tree.parts), "own int, part int, grams binary")
     answer = _answer(tree.depth, tree.near, tree.prior, spark.sparkContext.broadcast(tree.top))
     answers = asked.groupBy("part").cogroup(tree.nodes.groupBy("part")).applyInArrow(answer, "own int, part int, bits binary")
-    return rows.groupBy("own").cogroup(answers.groupBy("own")).applyInArrow(_score(tree.depth, tree.near, tree.parts), "doc_id long, n_symbols long, bits double, bits_per_symbol double")
+    return rows.groupBy("own").cogroup(answers.groupBy("own")).applyInArrow(_score(tree.depth, tree.near, tree.parts), "doc_id long, bits_per_symbol double, bits double, n_symbols long")
