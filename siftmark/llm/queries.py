@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmark.llm import chat, decontaminate, fingerprints, jaccard, language, license, lm, packing, quality, suffixes
+from siftmark.sources.tables import read_table
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,39 @@ def test_rare_words_count(spark):
     labels = spark.createDataFrame([(i, 1, int(i < 4)) for i in range(200)], "doc_id long, quality int, toxic int")
     few = {x.doc_id: x.toxic for x in Q.classify(docs, Q.train(docs, labels, rows=40)).collect()}
     assert few[201] > 1.5 * few[200] and few[200] < 0.2, (few[200], few[201])
+
+
+def test_a_step_of_fit_against_numeric_slopes(monkeypatch):
+    """One step on all texts, against slopes of the loss by differences of pairwise sums, with unknown labels and weights."""
+    for name, x in (("BITS", 4), ("RANK", 2), ("EPOCHS", 1), ("STEPS", 0), ("DECAY", 0.0)):
+        monkeypatch.setattr(Q, name, x)
+    r = np.random.default_rng(5)
+    bounds = np.array([0, 3, 4, 9, 12])
+    bucket = np.concatenate([r.choice(16, n, replace=False) for n in np.diff(bounds)]).astype(np.int32)
+    value, labels, weights = r.uniform(0.2, 1, 12).astype(np.float32), np.array([[1, 0], [0, -1], [-1, 1], [0, 0]]), np.array([1.0, 3.0, 2.0, 2.0])
+    start = np.random.default_rng(3).normal(0, 0.02, (16, 6)).astype(np.float32).astype(float)
+    start[:, ::3] = 0
+    texts = np.bincount(bucket, minlength=16)
+    trust = texts / (texts + Q.DOUBT)
+    share, known = weights / weights.mean(), labels >= 0
+    rate = ((np.where(known, labels, 0) * share[:, None]).sum(0) + 1) / ((known * share[:, None]).sum(0) + 2)
+
+    def loss(table):
+        total = 0.0
+        for t in range(4):
+            own = range(bounds[t], bounds[t + 1])
+            x = {i: value[i] * trust[bucket[i]] for i in own}
+            for h in range(2):
+                rows = table[:, 3 * h : 3 * h + 3]
+                z = np.log(rate[h] / (1 - rate[h])) + sum(rows[bucket[i], 0] * x[i] for i in own) + sum(rows[bucket[i], 1:] @ rows[bucket[j], 1:] * x[i] * x[j] for i in own for j in own if i < j)
+                if known[t, h]:
+                    total += share[t] * (np.log1p(np.exp(z)) - labels[t, h] * z) / 4
+        return total
+
+    got = Q.fit(bucket, value, bounds, labels, weights=weights).table / np.where(trust, trust, 1)[:, None]
+    for b in np.unique(bucket):
+        for c in range(6):
+            e = np.zeros_like(start)
+            e[b, c] = 1e-5
+            g = (loss(start + e) - loss(start - e)) / 2e-5
+            assert got[b, c] == pytest.approx(start[b, c] - Q.RATE * g / np.sqrt(1e-3 + g * g), abs=2e-4)
