@@ -1,14 +1,16 @@
-"""Raw documents to packed training sequences: five stages, each written as Parquet before the next reads it."""
+"""Raw documents to packed training sequences: five stages, each written as Parquet before the next reads it.
 
-from __future__ import annotations
+Every stage takes null ids, texts and other columns, empty and very long texts, repeated rows, empty tables and other
+columns of any name; what becomes of them is said in the docstring of the operator that it calls.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftmark.llm import decontaminate, jaccard, language, packing, suffixes
-from siftmark.llm.shared import shared_dir
+from siftmark.llm.shared import discard, tables, written
+from siftmark.sources.tables import read_table
 
 #: Naive Bayes scores and MinHash candidates have no exact SQL.
 ORACLE_SQL = None
@@ -49,10 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/siftmark-pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, as rows of the last. What a stage keeps is written to the shared folder and read again;
+    then the table before it, and those that its operator wrote, are deleted. An empty table of documents gives none."""
+    docs, others = read_table(spark, f"{sf_dir}/documents.parquet"), tables()
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        found = stage(spark, docs, sf_dir)
+        path = written(found, name)
+        discard(*(tables() - others - {path}))
+        docs = spark.read.schema(found.schema).parquet(path)
     return docs
