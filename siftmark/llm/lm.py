@@ -7,8 +7,9 @@ with it. A candidate stays if its next-symbol distribution diverges from that of
 stays ends with it.
 
 The tree is never in one place. It is cut into parts by the last NEAR symbols of a context, and a part is a row of a shared
-table; only contexts of fewer symbols, 64 ** 2 at most, are on the driver. Documents are scored in groups: a group
-asks each part once for each of its different runs, and the part answers with their bits.
+table; only contexts of fewer symbols, 64 ** 2 at most, are on the driver. Different texts are scored once each, in
+groups: a group asks each part once for each of its different runs, and the part answers with their bits. Documents are
+joined to the scores of their texts by 128 bits, so copies of one text are never brought together.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import materialise, tuned
+from siftmark.llm.shared import changes, materialise, tuned
 
 DEPTH, BITS, NEAR = 6, 6, 3
 LEAST, DIVERGENCE, PRIOR = 20, 0.02, 16.0
@@ -279,6 +280,14 @@ def _distinct(column: pa.ChunkedArray, depth: int) -> np.ndarray:
     return T.distinct(np.concatenate(held))
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different texts of a task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keys = zip(T.column_of(batch, "a").to_pylist(), T.column_of(batch, "b").to_pylist())
+        yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
+
+
 def _ask(depth: int, near: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         grams = _distinct(table["text"], depth)
@@ -318,6 +327,8 @@ def _answer(depth: int, near: int, prior: float, sent):
 def _score(depth: int, near: int, parts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         held, sizes = [], []
+        docs = docs.take(pa.array(np.lexsort((docs["b"].to_numpy(), docs["a"].to_numpy()))))
+        docs = docs.take(pa.array(changes(docs, "a", "b")))
         for _, stream, begin in symbols(docs["text"], depth):
             held.append(T.ranked(_grams(stream, begin, depth)))
             sizes.append(np.diff(begin) - depth)
@@ -333,7 +344,7 @@ def _score(depth: int, near: int, parts: int):
             each = bits[np.searchsorted(grams, u)][at]
             sums.append(np.where(n > 0, np.add.reduceat(each, np.cumsum(n + 1) - n - 1, dtype=np.float64), 0.0))
         n, total = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0), *sums])
-        return pa.table({"doc_id": docs["doc_id"], "bits_per_symbol": pa.array(total / np.maximum(n, 1), mask=n == 0), "bits": pa.array(total), "n_symbols": pa.array(n)})
+        return pa.table({"a": docs["a"], "b": docs["b"], "bits": pa.array(total), "n_symbols": pa.array(n)})
 
     return run
 
@@ -348,9 +359,13 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
     """
     spark = tuned(docs.sparkSession)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+    text = docs["text"].cast("string")
+    a, b = F.xxhash64(text).alias("a"), F.xxhash64(F.lit(71), text).alias("b")
+    rows = docs.select(a, b, text.alias("text")).where("text <> ''").mapInArrow(_once, "a long, b long, text string")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int"))
     asked = rows.groupBy("own").applyInArrow(_ask(tree.depth, tree.near, tree.parts), "own int, part int, grams binary")
     answer = _answer(tree.depth, tree.near, tree.prior, spark.sparkContext.broadcast(tree.top))
     answers = asked.groupBy("part").cogroup(tree.nodes.groupBy("part")).applyInArrow(answer, "own int, part int, bits binary")
-    return rows.groupBy("own").cogroup(answers.groupBy("own")).applyInArrow(_score(tree.depth, tree.near, tree.parts), "doc_id long, bits_per_symbol double, bits double, n_symbols long")
+    scores = rows.groupBy("own").cogroup(answers.groupBy("own")).applyInArrow(_score(tree.depth, tree.near, tree.parts), "a long, b long, bits double, n_symbols long")
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), a, b).join(scores, ["a", "b"], "left")
+    return found.select("doc_id", (F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"), F.coalesce("bits", F.lit(0.0)).alias("bits"), F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"))
