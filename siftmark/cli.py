@@ -15,6 +15,7 @@ from siftmark import report
 from siftmark.functions.text import SEVERITIES
 from siftmark.operators import dependencies, files, rules
 from siftmark.plans import corpus, scans
+from siftmark.sources import registries
 from siftmark.sources.repofiles import read_repo
 
 COMMANDS = {"scan": scans.full_scan, "check-deps": scans.scan_dependencies, "check-secrets": scans.scan_secrets, "check-rules": scans.scan_agent_rules, "check-docker": scans.scan_docker, "gate": scans.full_scan}
@@ -31,10 +32,12 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--format", choices=("console", "json"), default="console")
     shared.add_argument("--no-color", action="store_true")
     shared.add_argument("--no-ignore", action="store_true")
-    shared.add_argument("--registry", help="Parquet snapshot of package registries; without it packages are known from the cache alone")
+    shared.add_argument("--registry", help="Parquet snapshot of package registries, to ask instead of them")
     shared.add_argument("--cache", help=f"directory of what was found of packages before; {CACHE_DIR} below the path")
     shared.add_argument("--offline", action="store_true", help="use the cache alone, however old")
     shared.add_argument("--as-of", help="time to count ages from; now")
+    for name, url in registries.URLS.items():
+        shared.add_argument(f"--{name.lower()}-url", default=url, help="where to ask for a package, {} in it")
     for kind in ("secret", "agent", "docker"):
         shared.add_argument(f"--{kind}-rules", help="JSON array of rules: name, pattern, severity, remediation")
     out = argparse.ArgumentParser(prog="siftmark", description=__doc__)
@@ -94,17 +97,21 @@ def _known(spark: SparkSession, given: argparse.Namespace, tree: DataFrame, patt
     at = given.cache or os.path.join(given.path if os.path.isdir(given.path) else os.path.dirname(os.path.abspath(given.path)), CACHE_DIR)
     stored = os.path.join(at, "packages")
     have = os.path.isdir(stored) and os.path.isfile(os.path.join(at, MARKER))
-    snapshot = spark.read.parquet(given.registry) if given.registry and not given.offline else None
-    if snapshot is None and not have:
-        if given.command in ("scan", "gate", "check-deps"):
-            print("packages are not checked: no --registry and no cache", file=sys.stderr)
+    if given.offline and not have:
+        print("packages are not checked: offline and no cache", file=sys.stderr)
         return None
     own = files.wanted(tree, patterns=patterns)
     packages = dependencies.from_requirements(own).unionByName(dependencies.from_package_json(own)).select("registry", "package").distinct()
     cache = dependencies.unbroken(spark.read.parquet(f"file://{os.path.abspath(stored)}")) if have else spark.createDataFrame([], dependencies.ANSWERS)
+    snapshot = None
+    if given.registry:
+        snapshot = spark.read.parquet(given.registry)
+    elif not given.offline:  # only what the cache doesn't say is asked for
+        unknown = packages.join(dependencies.answers(packages, cache, None, as_of, False), ["registry", "package"], "left_anti")
+        urls = {name: getattr(given, f"{name.lower()}_url") for name in registries.URLS}
+        snapshot = dependencies.first_upload(registries.ask(unknown, urls)).where("http_status IS NOT NULL").cache()
     known = dependencies.answers(packages, cache, snapshot, as_of, given.offline).cache()
-    if snapshot is not None:
-        known.count()
+    if not given.offline and not known.isEmpty():
         save_cache(dependencies.sealed(dependencies.upsert(cache, known)), at)
     return known.drop("fetched_at")
 

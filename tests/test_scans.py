@@ -1,9 +1,11 @@
+import http.server
 import io
 import json
 import os
 import random
 import re
-from contextlib import redirect_stdout
+import threading
+from contextlib import contextmanager, redirect_stdout
 
 import duckdb
 import pytest
@@ -186,12 +188,12 @@ def run(args):
 def test_command_line(spark, tmp_path):
     root = str(tree(tmp_path))
     os.remove(tmp_path / "fits.txt")
-    code, out = run(["scan", root, "--format", "json"])
+    code, out = run(["scan", root, "--format", "json", "--offline"])
     rows = json.loads(out)
     assert code == 1 and {r["check"] for r in rows} == {"secret", "agent_rule", "docker"} and any(r.get("file") == ".hidden/_x.md" for r in rows)
     assert all(None not in r.values() for r in rows)
     (tmp_path / cli.IGNORE_FILE).write_text("*\n")
-    assert run(["scan", root])[0] == 0 and run(["scan", root, "--no-ignore", "--severity", "CRITICAL", "--no-color"])[0] == 1
+    assert run(["scan", root, "--offline"])[0] == 0 and run(["scan", root, "--offline", "--no-ignore", "--severity", "CRITICAL", "--no-color"])[0] == 1
     assert run(["check-docker", str(tmp_path / "requirements.txt")]) == (0, "Nothing found.\n")
     assert run(["scan", str(tmp_path / "none")])[0] == 2
     code, out = run(["demo", "--no-color"])
@@ -204,24 +206,62 @@ def test_packages_by_registry_and_cache(spark, tmp_path):
     table = str(tmp_path.parent / f"{tmp_path.name}-registry")
     corpus.registry(spark).write.parquet(table)
     deps = ["check-deps", root, "--no-color"]
-    assert run(deps) == (0, "Nothing found.\n")  # nothing is known of packages
+    assert run([*deps, "--offline"]) == (0, "Nothing found.\n")  # nothing is known of packages
     code, out = run([*deps, "--registry", table, "--as-of", corpus.AS_OF])
     assert code == 1 and "ghostly-lib-77" in out and "flask" in out
     assert run([*deps, "--offline", "--as-of", "2026-01-09 00:00:00"])[1].count("ghostly-lib-77") == 1  # from the cache, however old
-    assert run([*deps, "--as-of", "2026-01-09 00:00:00"]) == (0, "Nothing found.\n")  # too old
+    with answering({}) as urls:  # too old, and registries that fail say nothing
+        assert run([*deps, "--as-of", "2026-01-09 00:00:00", *urls]) == (0, "Nothing found.\n")
     other = tmp_path / "kept"
     other.mkdir()
     assert run(["cache-clear", str(other)])[0] == 0 and other.exists()
     assert run(["cache-clear", root])[0] == 0 and not (tmp_path / cli.CACHE_DIR).exists() and (tmp_path / "requirements.txt").exists()
 
 
+@contextmanager
+def answering(bodies):
+    """A registry on this machine: 200 with a body, 404 where that is None, 500 for other paths."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            body = bodies.get(self.path, 500)
+            self.send_response(404 if body is None else body if isinstance(body, int) else 200)
+            self.end_headers()
+            self.wfile.write(body.encode() if isinstance(body, str) else b"")
+
+        def log_message(self, *_):
+            pass
+
+    asked = []
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    yield ["--pypi-url", at + "/pypi/{}/json", "--npm-url", at + "/npm/{}"]
+    server.shutdown()
+    assert len(asked) == len(set(asked)) and asked
+
+
+def test_packages_are_asked_for(spark, tmp_path):
+    (tmp_path / "requirements.txt").write_text("old-one\nnew-one>=1\nghost\nodd\nold-one\n")
+    (tmp_path / "package.json").write_text('{"dependencies": {"@a/b": "1"}}')
+    upload = lambda day: json.dumps({"releases": {"1": [{"upload_time": f"{day}T00:00:00"}]}})
+    bodies = {"/pypi/old-one/json": upload("2019-01-01"), "/pypi/new-one/json": upload("2025-12-20"), "/pypi/ghost/json": None, "/npm/@a%2Fb": json.dumps({"time": {"created": "2025-11-01T00:00:00.000Z"}})}
+    with answering(bodies) as urls:
+        code, out = run(["check-deps", str(tmp_path), "--format", "json", "--as-of", corpus.AS_OF, *urls])
+    assert code == 1 and {(r["package"], r["severity"]) for r in json.loads(out)} == {("ghost", "CRITICAL"), ("new-one", "HIGH"), ("@a/b", "MEDIUM")}
+    assert (tmp_path / cli.CACHE_DIR / cli.MARKER).exists()
+    code, again = run(["check-deps", str(tmp_path), "--format", "json", "--as-of", corpus.AS_OF, "--offline"])
+    assert (code, json.loads(again)) == (1, json.loads(out))
+
+
 def test_rules_of_the_user_and_the_gate(spark, tmp_path):
     root = str(tree(tmp_path))
     os.remove(tmp_path / "fits.txt")
     (tmp_path / "rules.json").write_text(json.dumps([{"name": "First", "pattern": "^Ask", "severity": "CRITICAL", "remediation": "don't"}, {"name": "Broken", "pattern": "("}]))
     code, out = run(["check-rules", root, "--agent-rules", str(tmp_path / "rules.json"), "--format", "json"])
     assert code == 1 and [(r["rule_name"], r["line"], r["remediation"]) for r in json.loads(out)] == [("First", 3, "don't")]
-    assert run(["gate", root, "--no-color"])[0] == 1 and run(["install-hook", root])[0] == 2
+    assert run(["gate", root, "--no-color", "--offline"])[0] == 1 and run(["install-hook", root])[0] == 2
     (tmp_path / ".git").mkdir()
     assert run(["install-hook", root])[0] == 0 and os.access(tmp_path / ".git/hooks/pre-commit", os.X_OK)
 
