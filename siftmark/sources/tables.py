@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -10,4 +11,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     over them, as scans take longer than the shuffle of so little; others are read as they are."""
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores).where(F.spark_partition_id() >= 0)  # always so, but filters are not moved below the shuffle past it
