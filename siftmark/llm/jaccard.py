@@ -109,7 +109,7 @@ def _pairs(table: pa.Table, bands: int, most: int = 1_000_000) -> Iterator[tuple
     starts = changes(table, "bucket", "low", "high")
     sizes = np.diff(np.append(starts, table.num_rows))
     band, block, cross = table["band"].to_numpy(), table["block"].to_numpy(), table["low"].to_numpy() != table["high"].to_numpy()
-    before = _before(table["before"], bands)
+    before, all_ = _before(table["before"], bands), table["all"].to_numpy()
     left = np.concatenate([np.arange(s, s + n) for s, n in zip(starts.tolist(), sizes.tolist())])
     rest = np.repeat(starts + sizes, sizes) - left - 1  # partners after each
     ends = np.cumsum(rest)
@@ -121,7 +121,7 @@ def _pairs(table: pa.Table, bands: int, most: int = 1_000_000) -> Iterator[tuple
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         ok = ~cross[a] | (block[a] != block[b])
         a, b = a[ok], b[ok]
-        new = _first_meeting(before, band, a, b)
+        new = all_[a] | _first_meeting(before, band, a, b)
         yield a[new], b[new]
         done = stop
 
@@ -156,7 +156,7 @@ def _needed(bands: int):
             use = np.zeros(table.num_rows, bool)
             for a, b in _pairs(table, bands):
                 use[a] = use[b] = True
-            yield from table.select(["bucket", "low", "high", "block", "band", "hi", "lo"]).filter(pa.array(use)).to_batches()
+            yield from table.select(_TASK).filter(pa.array(use)).to_batches()
 
     return run
 
@@ -180,9 +180,9 @@ def _verifier(n: int, threshold: float, bands: int, count: bool):
     """For each class of a task: its links, as a row without another class, and edges that connect those it has links with."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort([table[c].to_numpy() for c in ("lo", "hi", "high", "low", "bucket")])
+        order = np.lexsort([table[c].to_numpy() for c in ("lo", "hi", "block", "high", "low", "bucket")])
         table = table.take(pa.array(order)).combine_chunks()
-        table = table.take(pa.array(changes(table, "bucket", "low", "high", "hi", "lo"))).combine_chunks()  # rows may be repeated
+        table = table.take(pa.array(changes(table, "bucket", "low", "high", "block", "hi", "lo"))).combine_chunks()  # rows may be repeated
         hi, lo, weight = (table[c].to_numpy() for c in ("hi", "lo", "n"))
         # every class once, in the order of (hi, lo)
         by = np.lexsort((lo, hi))
@@ -244,24 +244,19 @@ def _verifier(n: int, threshold: float, bands: int, count: bool):
     return run
 
 
-def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True, block: int = BLOCK) -> DataFrame:
-    """(hi, lo, ohi, olo, links). Rows without ohi say in how many documents of other classes a class has its likes, and
-    are to be summed; the others are edges that connect what is connected by verified pairs. Without count, pairs of
-    classes that are connected already aren't verified, and links are not to be read."""
-    bands, _ = bands_for(threshold, recall)
-    rows = classes.select("hi", "lo", F.posexplode("buckets").alias("band", "bucket"))
-    sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    met = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block))
-    met = met.withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    met = met.select("hi", "lo", "band", "bucket", "block", other.alias("other"))
-    met = met.select("hi", "lo", "band", "bucket", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    met = met.join(classes.select("hi", "lo", "buckets"), ["hi", "lo"]).withColumn("before", F.expr("slice(buckets, 1, band)")).drop("buckets")
-    task = ["bucket", "low", "high"]
-    needed = met.repartition(*task).sortWithinPartitions(*task, "hi", "lo").mapInArrow(_needed(bands), "bucket long, low int, high int, block int, band int, hi long, lo long")
-    needed = materialise(needed, "needed")
+_TASK = ["hi", "lo", "band", "bucket", "block", "low", "high", "all"]
+
+
+def _verified(docs: DataFrame, classes: DataFrame, tasks: DataFrame, n: int, threshold: float, bands: int, count: bool) -> DataFrame:
+    """The links that _verifier finds in tasks (hi, lo, band, bucket, block, low, high, all): classes of a bucket, of its
+    blocks low and high. Pairs that meet in an earlier bucket are left to that unless all are asked for."""
+    kinds = "hi long, lo long, band int, bucket long, block int, low int, high int, all boolean"
+    some = tasks.where("NOT all").join(classes.select("hi", "lo", "buckets"), ["hi", "lo"]).withColumn("before", F.expr("slice(buckets, 1, band)"))
+    key = ["bucket", "low", "high"]
+    some = some.select(*_TASK, "before").repartition(*key).sortWithinPartitions(*key, "hi", "lo").mapInArrow(_needed(bands), kinds)
+    needed = materialise(some.unionByName(tasks.where("all")), "needed")
     parts = max(1, -(-needed.count() // TEXTS))
-    asked = needed.groupBy("hi", "lo").agg(F.collect_list(F.struct("bucket", "low", "high", "block", "band")).alias("asked"))
+    asked = needed.groupBy("hi", "lo").agg(F.collect_list(F.struct("band", "bucket", "block", "low", "high", "all")).alias("asked"))
     asked = asked.join(classes, ["hi", "lo"]).select("id", "h", "hi", "lo", "n", "buckets", "asked")
     sent = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"])
     sent = sent.mapInArrow(_once, sent.schema).select("hi", "lo", "n", "text", "buckets", F.explode("asked").alias("a"))
@@ -269,12 +264,54 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float =
     return materialise(sent.groupBy("task").applyInArrow(_verifier(n, threshold, bands, count), _LINK), "links")
 
 
+def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True, block: int = BLOCK) -> DataFrame:
+    """(hi, lo, ohi, olo, links). Rows without ohi say in how many documents of other classes a class has its likes, and
+    are to be summed; the others are edges that connect what is connected by verified pairs.
+
+    Without count, links are not to be read, and pairs of classes that are connected already aren't verified. Then each
+    block of a large bucket is verified by itself and with the bucket's head, its least class. Only what is not connected
+    to the head after that, by whatever bucket, is held against the other blocks.
+    """
+    bands, _ = bands_for(threshold, recall)
+    found = lambda tasks: _verified(docs, classes, tasks.select(_TASK), n, threshold, bands, count)
+    rows = classes.select("hi", "lo", F.posexplode("buckets").alias("band", "bucket"))
+    sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    met = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int")).drop("size")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    part = lambda low, high, all_: {"low": F.col(low) if isinstance(low, str) else low, "high": F.col(high) if isinstance(high, str) else high, "all": F.lit(all_) if isinstance(all_, bool) else all_}
+    if count or sizes.where(F.col("size") > block).isEmpty():
+        met = met.withColumn("other", each("blocks"))
+        return found(met.withColumns(part(F.least("block", "other"), F.greatest("block", "other"), False)))
+    large = materialise(met.where("blocks > 1"), "large")
+    heads = large.groupBy("bucket", "blocks").agg(F.min(F.struct("hi", "lo", "band")).alias("head"))
+    everywhere = heads.select("head.*", "bucket", each("blocks").alias("block"))
+    own = met.withColumns(part("block", "block", F.col("blocks") > 1)).select(_TASK)
+    first = found(own.unionByName(everywhere.withColumns(part("block", "block", True)).select(_TASK)))
+    roots = materialise(_roots(first), "roots")
+    rooted = lambda df, a, b: df.join(roots.withColumnsRenamed({"hi": a, "lo": b}), [a, b], "left").withColumns({"rhi": F.coalesce("rhi", a), "rlo": F.coalesce("rlo", b)})
+    at = rooted(heads.select("bucket", F.col("head.hi").alias("ahi"), F.col("head.lo").alias("alo")), "ahi", "alo").select("bucket", F.col("rhi").alias("bhi"), F.col("rlo").alias("blo"))
+    loose = materialise(rooted(large, "hi", "lo").join(at, "bucket").where("rhi <> bhi OR rlo <> blo").select(large.columns), "loose")
+    if loose.isEmpty():
+        return first
+    chunks = loose.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    left = large.join(chunks, "bucket").withColumn("c", each("chunks")).withColumns(part("block", F.col("blocks") + F.col("c"), True))
+    right = loose.join(chunks, "bucket").withColumn("c", F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int")).withColumn("k", each("blocks"))
+    right = right.withColumn("block", F.col("blocks") + F.col("c")).withColumns(part("k", "block", True))
+    return first.unionByName(found(left.select(_TASK).unionByName(right.select(_TASK))))
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(hi, lo, rhi, rlo) of all classes that are connected to a lesser one: the least of them."""
+    node = lambda a, b, name: F.struct(F.col(a).alias("hi"), F.col(b).alias("lo")).alias(name)
+    edges = links.where("ohi IS NOT NULL").select(node("hi", "lo", "u"), node("ohi", "olo", "v"))
+    return components(edges).select("node.*", F.col("root.hi").alias("rhi"), F.col("root.lo").alias("rlo"))
+
+
 def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(hi, lo, rhi, rlo, n, links) of the classes that hold several documents or are connected to others: the class
     that stands for all that are connected, and how many documents each one of this class is like."""
-    node = lambda a, b, name: F.struct(F.col(a).alias("hi"), F.col(b).alias("lo")).alias(name)
-    edges = links.where("ohi IS NOT NULL")
-    roots = components(edges.select(node("hi", "lo", "u"), node("ohi", "olo", "v"))).select("node.*", F.col("root.hi").alias("rhi"), F.col("root.lo").alias("rlo"))
+    roots = _roots(links)
     tops = roots.select(F.col("rhi").alias("hi"), F.col("rlo").alias("lo")).distinct()
     counts = links.where("ohi IS NULL").groupBy("hi", "lo").agg(F.sum("links").alias("links"))
     all_ = roots.unionByName(tops.select("hi", "lo", F.col("hi").alias("rhi"), F.col("lo").alias("rlo"))).join(counts, ["hi", "lo"], "left")

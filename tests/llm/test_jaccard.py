@@ -110,11 +110,12 @@ def test_components_of_a_long_path(spark):
     assert {(r.node.id, r.root.id) for r in got} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
 
 
-def test_keep_one_of_each_group(spark):
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 4, 1])
+def test_keep_one_of_each_group(spark, block):
     rows = corpus(2, 6, 5) + [(900, None), (901, ""), (900, None), (None, "only one here"), (None, "only one here")]
     docs = spark.createDataFrame([(i, x, "t", "u") for i, x in rows], "doc_id long, text string, _id string, `a.b` string")
     gone = {i for i, c, _ in wanted([x for x in rows if x[1] and x[0] is not None]) if i != c}
-    kept = jaccard.keep_one(docs, recall=SURE)
+    kept = jaccard.keep_one(docs, recall=SURE, block=block)
     assert kept.columns == docs.columns
     have = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
     want = sorted({(i is None, i or 0, x or "") for i, x in rows if i not in gone})
