@@ -216,7 +216,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     of exact ones the longest; of others the best ranked is given, one under the `ranked` best only where none of
     these fits.
 
-    Null, empty and other texts without a candidate line give no row. Rows with a null doc_id and repeated rows
+    A very long text is looked at in all its windows. Null, empty and other texts without a candidate word give no row. Rows with a null doc_id and repeated rows
     are each scanned. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
     tuned(docs.sparkSession)

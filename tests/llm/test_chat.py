@@ -2,6 +2,7 @@ import json
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from siftmark.llm import chat, queries
@@ -39,6 +40,18 @@ def test_spans_are_the_assistants_contents(spark):
             assert raw[:s].endswith(b"<|im_start|>assistant\n") and raw[s + n :].startswith(b"<|im_end|>\n")
 
 
+def test_very_long_turns_and_conversations(spark, monkeypatch):
+    rows = [(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", "é" * 1_000_000), *((2, k, "assistant", f"turn {k}") for k in range(30_000)), (3, 0, "user", "hi")]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    head, close = "<|im_start|>", "<|im_end|>\n"
+    assert got[1].text == f"{head}user\n{rows[0][3]}{close}{head}assistant\n{rows[1][3]}{close}" and list(got[1].target_lengths) == [2_000_000]
+    raw = got[2].text.encode()
+    assert got[2].n_turns == 30_000 and all(raw[s : s + n].decode() == f"turn {k}" for k, (s, n) in enumerate(zip(got[2].target_starts, got[2].target_lengths)))
+    monkeypatch.setattr(chat, "MOST_BYTES", 100)
+    with pytest.raises(ValueError):
+        chat.assemble(pa.table({"conv_id": pa.array([1]), "role": ["user"], "text": ["x" * 100]}))
+
+
 def test_empty_table_and_extra_columns(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).collect() == []
     df = spark.createDataFrame([(1, 0, "user", "x", 7)], SCHEMA + ", n_turns int")
