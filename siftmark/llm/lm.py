@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from siftmark.llm import text as T
 from siftmark.llm.shared import changes, materialise, tuned
 
 DEPTH, BITS, NEAR = 6, 6, 3
+TOGETHER = 32  # about so many tasks have their counts summed at once
 LEAST, DIVERGENCE, PRIOR = 20, 0.02, 16.0
 SYMBOLS = 1 << BITS
 
@@ -135,20 +137,27 @@ def _count(depth: int, near: int, parts: int):
                     settle()
         settle()
         k, n = _summed(np.concatenate(keys), np.concatenate(counts))
+        task = TaskContext.get().partitionId()
         for part, own in _by_part(k, near, parts):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "grams": [_pack(_steps(k[own]))], "counts": [_pack(n[own])]})
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "part": pa.array([part], pa.int32()), "grams": [_pack(_steps(k[own]))], "counts": [_pack(n[own])]})
 
     return run
 
 
 def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(np.cumsum(_unpack(g)), _unpack(n)) for g, n in zip(table["grams"].to_pylist(), table["counts"].to_pylist())]
-    return _summed(np.concatenate([g for g, _ in rows]), np.concatenate([n for _, n in rows]))
+    """Grams and counts of rows of them, summed whenever there are many."""
+    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for g, n in zip(table["grams"], table["counts"]):
+        held.append((np.cumsum(_unpack(g.as_py())), _unpack(n.as_py())))
+        size += len(held[-1][0])
+        if size > 8_000_000:
+            held, size = [_summed(*map(np.concatenate, zip(*held)))], 0
+    return _summed(*map(np.concatenate, zip(*held)))
 
 
 def _sum(table: pa.Table) -> pa.Table:
     keys, counts = _counted(table)
-    return pa.table({"part": table["part"][:1], "grams": [_pack(_steps(keys))], "counts": [_pack(counts)]})
+    return pa.table({"task": table["task"][:1], "part": table["part"][:1], "grams": [_pack(_steps(keys))], "counts": [_pack(counts)]})
 
 
 def _shortened(near: int):
@@ -217,7 +226,7 @@ def _suffixes(near: int):
 @dataclass
 class Tree:
     """top[c * SYMBOLS + s] is P(s) after c, near - 1 symbols, by the longest context of no more that stays; nodes has the
-    counts of longer ones by part."""
+    counts of longer ones by part. A part of more grams than others answers in as many places as shares says."""
 
     depth: int
     near: int
@@ -225,6 +234,7 @@ class Tree:
     prior: float
     top: np.ndarray
     nodes: DataFrame
+    shares: np.ndarray
 
     @property
     def bits(self) -> np.ndarray:
@@ -256,9 +266,16 @@ def train(docs: DataFrame, depth: int = DEPTH, share: float | None = None, diver
     that counts instead."""
     spark = tuned(docs.sparkSession)
     parts, near = int(spark.conf.get("spark.sql.shuffle.partitions")), min(NEAR, depth)
-    kept = "part int, grams binary, counts binary"
+    kept = "task int, part int, grams binary, counts binary"
     runs = docs.select(docs["text"].cast("string").alias("text")).where("text <> ''").mapInArrow(_count(depth, near, parts), kept)
+    few = parts // TOGETHER
+    while few > 1:  # so that no task sums what very many have counted
+        runs = runs.groupBy("part", F.pmod("task", F.lit(few))).applyInArrow(_sum, kept)
+        few //= TOGETHER
     runs = materialise(runs.groupBy("part").applyInArrow(_sum, kept), "grams")
+    sizes = runs.groupBy("part").agg(F.sum(F.octet_length("grams")).alias("n")).toArrow()
+    shares = np.ones(parts, np.int64)
+    shares[sizes["part"].to_numpy()] = np.ceil(sizes["n"].to_numpy() / max(1.0, 1.5 * np.mean(sizes["n"].to_numpy() if sizes.num_rows else [1])))
     short = runs.mapInArrow(_shortened(near), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
     levels = [(short["gram"].to_numpy(), short["n"].to_numpy())]
     for d in range(near - 2, -1, -1):
@@ -266,7 +283,7 @@ def train(docs: DataFrame, depth: int = DEPTH, share: float | None = None, diver
     bound = float(least) if share is None else max(1.0, share * levels[0][1].sum())
     nodes = materialise(runs.mapInArrow(_grow(depth, near, levels[-1], bound, divergence), "part int, depth int, grams binary, counts binary"), "nodes")
     below = nodes.where(F.col("depth") == near).mapInArrow(_suffixes(near), "context long").distinct().toArrow()["context"].to_numpy()
-    return Tree(depth, near, parts, prior, _top(levels, np.sort(below), bound, divergence, prior), nodes)
+    return Tree(depth, near, parts, prior, _top(levels, np.sort(below), bound, divergence, prior), nodes, shares)
 
 
 def _distinct(column: pa.ChunkedArray, depth: int) -> np.ndarray:
@@ -288,11 +305,13 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
 
 
-def _ask(depth: int, near: int, parts: int):
+def _ask(depth: int, near: int, parts: int, shares: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         grams = _distinct(table["text"], depth)
         asked = [(k, _pack(_steps(grams[own]))) for k, own in _by_part(grams, near, parts)]
-        return pa.table({"own": pa.array([table["own"][0].as_py()] * len(asked), pa.int32()), "part": pa.array([k for k, _ in asked], pa.int32()), "grams": pa.array([g for _, g in asked], pa.binary())})
+        own = table["own"][0].as_py()
+        share = [own % int(shares[k]) for k, _ in asked]
+        return pa.table({"own": pa.array([own] * len(asked), pa.int32()), "share": pa.array(share, pa.int32()), "part": pa.array([k for k, _ in asked], pa.int32()), "grams": pa.array([g for _, g in asked], pa.binary())})
 
     return run
 
@@ -363,9 +382,11 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
     a, b = F.xxhash64(text).alias("a"), F.xxhash64(F.lit(71), text).alias("b")
     rows = docs.select(a, b, text.alias("text")).where("text <> ''").mapInArrow(_once, "a long, b long, text string")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int"))
-    asked = rows.groupBy("own").applyInArrow(_ask(tree.depth, tree.near, tree.parts), "own int, part int, grams binary")
+    asked = rows.groupBy("own").applyInArrow(_ask(tree.depth, tree.near, tree.parts, tree.shares), "own int, share int, part int, grams binary")
     answer = _answer(tree.depth, tree.near, tree.prior, spark.sparkContext.broadcast(tree.top))
-    answers = asked.groupBy("part").cogroup(tree.nodes.groupBy("part")).applyInArrow(answer, "own int, part int, bits binary")
+    shares = spark.createDataFrame(list(enumerate(tree.shares.tolist())), "part int, shares int")  # as many rows as parts
+    nodes = tree.nodes.join(F.broadcast(shares), "part").select(*tree.nodes.columns, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    answers = asked.groupBy("part", "share").cogroup(nodes.groupBy("part", "share")).applyInArrow(answer, "own int, part int, bits binary")
     scores = rows.groupBy("own").cogroup(answers.groupBy("own")).applyInArrow(_score(tree.depth, tree.near, tree.parts), "a long, b long, bits double, n_symbols long")
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), a, b).join(scores, ["a", "b"], "left")
     return found.select("doc_id", (F.col("bits") / F.col("n_symbols")).alias("bits_per_symbol"), F.coalesce("bits", F.lit(0.0)).alias("bits"), F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"))

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -57,6 +58,19 @@ def test_scores_against_dictionaries(spark, depth, share, divergence):
     assert all((r.bits_per_symbol is None) == (r.n_symbols == 0) for r in got)
 
 
+def test_many_tasks_and_shares_of_parts(spark, monkeypatch):
+    """Counts that go through several sums, and parts that answer in several places, give the same scores."""
+    docs = spark.createDataFrame([(i, f"text number {i} of the {i % 7} " * (i % 5 + 1)) for i in range(60)], SCHEMA).repartition(9)
+    tree = lm.train(docs)
+    want = sorted(map(tuple, lm.score(docs, tree).collect()))
+    monkeypatch.setattr(lm, "TOGETHER", 2)
+    other = lm.train(docs)
+    assert (other.top == tree.top).all() and tree.shares.max() >= 1
+    other.shares = np.arange(1, len(other.shares) + 1)
+    assert sorted(map(tuple, lm.score(docs, other).collect())) == want
+    assert lm.score(docs.unionAll(docs), other).count() == 120
+
+
 def test_distributions_sum_to_one_and_the_text_is_read_whole(spark):
     docs = spark.createDataFrame([(1, "abc " * 200_000 + "zq"), (2, "hello there")], "doc_id long, text string")
     tree = lm.train(docs)
