@@ -149,8 +149,12 @@ def ast_secret_scan(spark, sf):
     return py.ast_secrets(c.files(spark, c.PYTHON_FILES), rules.SECRETS).select("file", "line", "pattern_name", "value_preview")
 
 
-@query()
+_STRINGS = [("src/a.py", 1, "AKIA" + "ABCDEFGH23456789", True), ("src/a.py", 2, "AKIA" + "ABCDEFGH23456789", False), ("src/b.py", 2, "password: hidden_value", False), ("src/b.py", 3, "AKIA", False), ("src/b.py", 3, "ABCDEFGH23456789", False), ("src/c.py", 1, "AKIA" + "ABCDEFGH23456789", True), ("src/c.py", 2, "password=topsecret99 ", False)]
+
+
+@query(c.sql_values(_STRINGS, "file, line, value, is_concat")[1:-1])
 def ast_strings_documents(spark, sf):
+    """Against rows derived by hand, as no document is a Python source."""
     return py.ast_strings(c.documents(spark, sf).unionByName(c.files(spark, c.PYTHON_FILES)))
 
 
@@ -321,7 +325,10 @@ def report_headlines(spark, sf):
     return findings.lines(_full(spark, sf))
 
 
-@query()
+_JSON_FIELDS = ", ".join(f"'{k}', \"{k}\"" for k in ["check", *SHORT] if k != "rule_ord")
+
+
+@query(f"SELECT json_merge_patch('{{}}', json_object({_JSON_FIELDS}))::VARCHAR AS finding FROM {_FULL}")
 def findings_json(spark, sf):
     return findings.as_json(_full(spark, sf))
 
