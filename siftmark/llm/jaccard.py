@@ -320,9 +320,9 @@ def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, links), a row for every row of docs.
+    """(doc_id, class_id, n_links), a row for every row of docs.
 
-    links is the number of other rows that have with it that Jaccard index of their sets of n-grams of words, `threshold`
+    n_links is the number of other rows that have with it that Jaccard index of their sets of n-grams of words, `threshold`
     or more; rows of the same words, whose index is 1, are among them. What pairs connect, directly or through others, is
     one class, and class_id is the least doc_id in it, null where none has one.
 
@@ -340,8 +340,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     found = grouped.join(least, ["rhi", "rlo"]).select("hi", "lo", "class_id", "links", F.lit(True).alias("found"))
     doc_id = named(F.col("id"), F.col("h"))
     rows = signed.where("hi IS NOT NULL").select(doc_id.alias("doc_id"), "hi", "lo").join(found, ["hi", "lo"], "left")
-    rows = rows.select("doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return rows.unionAll(signed.where("hi IS NULL").select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("links")))
+    rows = rows.select("doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.unionAll(signed.where("hi IS NULL").select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _starry(edges: DataFrame) -> bool:
@@ -407,4 +407,4 @@ size AS (SELECT r, count(*) AS n FROM g GROUP BY r),
 p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
 near AS (SELECT a, b FROM p JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE k >= {THRESHOLD} * (x.n + y.n - k)),
 reach AS (SELECT r, r AS x FROM d UNION SELECT reach.r, near.b AS x FROM reach JOIN near ON near.a = reach.x)
-SELECT d.doc_id, (SELECT min(e.doc_id) FROM reach JOIN d e ON e.r = reach.x WHERE reach.r = d.r) AS class_id, (SELECT count(*) FROM near WHERE near.a = d.r) AS links FROM d"""
+SELECT d.doc_id, (SELECT min(e.doc_id) FROM reach JOIN d e ON e.r = reach.x WHERE reach.r = d.r) AS class_id, (SELECT count(*) FROM near WHERE near.a = d.r) AS n_links FROM d"""

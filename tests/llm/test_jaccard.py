@@ -21,7 +21,7 @@ def brute(rows, n=jaccard.N, t=jaccard.THRESHOLD):
 
 
 def wanted(rows, n=jaccard.N, t=jaccard.THRESHOLD):
-    """[(doc_id, class_id, links)] of rows whose doc_ids differ, by comparing all pairs."""
+    """[(doc_id, class_id, n_links)] of rows whose doc_ids differ, by comparing all pairs."""
     pairs = brute(rows, n, t)
     links, own = Counter(x for p in pairs for x in p), {i: i for i, _ in rows}
     for g in groups_by_pairs(pairs):
@@ -78,7 +78,7 @@ def test_many_copies_and_a_line_that_many_share(spark):
     base = " ".join(f"w{i}" for i in range(40))
     copies = spark.range(100_000).selectExpr("id % 2000 AS doc_id", f"'{base}' AS text")
     near = spark.range(3_000).selectExpr("id + 5000 AS doc_id", "concat_ws(' ', transform(sequence(0, 59), x -> 'v' || x), 'own' || id) AS text")
-    out = jaccard.join(copies.unionAll(near), block=500).groupBy("class_id", "links").count().collect()
+    out = jaccard.join(copies.unionAll(near), block=500).groupBy("class_id", "n_links").count().collect()
     assert {tuple(r) for r in out} == {(0, 99_999, 100_000), (5000, 2_999, 3_000)}
     kept = jaccard.keep_one(copies.unionAll(near), block=500).collect()
     assert sorted(r.doc_id for r in kept) == [0, 5000]
