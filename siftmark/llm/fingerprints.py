@@ -1,9 +1,9 @@
 """Document fingerprints by winnowing.
 
-A text is lower-cased and reduced to its word characters. Every k of them in a row have a Karp-Rabin hash by two moduli, 62
-bits together; of
+A text is lower-cased and reduced to its word characters. Every k of them in a row have a Karp-Rabin hash; of
 every `window` hashes in a row the least is kept, the rightmost where several are least. Two texts that share
-k + window - 1 normalised characters therefore share a fingerprint, and the positions say where.
+k + window - 1 normalised characters therefore share a fingerprint, and the positions say where. A fingerprint has 62 bits:
+what is kept has a hash by a second modulus as well.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from siftmark.llm.shared import tuned
 
 K, WINDOW = 32, 64
 PRIMES, BASE = ((1 << 31) - 1, (1 << 31) - 19), 1_000_003
+_LOW = np.int64(0xFFFFFFFF)
 _KEEP = np.zeros(128, bool)
 _KEEP[[*b"0123456789abcdefghijklmnopqrstuvwxyz_"]] = True
 
@@ -42,37 +43,31 @@ def rolling(points: np.ndarray, k: int, prime: int) -> np.ndarray:
         size *= 2
 
 
-def last_least(x: np.ndarray, w: int) -> np.ndarray:
-    """Of every w numbers in a row, the place of the least, the rightmost of several, by doubling."""
-    at, have = np.arange(len(x)), 1
-    while have < w:
-        step = min(have, w - have)
-        left, right = (x, x[step:]) if have == 1 else (least[:-step], least[step:])
-        left = left[: len(right)]
-        later = right <= left
-        least = np.where(later, right, left)
-        at = np.where(later, at[step:], at[:-step])
-        have += step
-    return at
+def second(points: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The hash by the second modulus of the k-grams that begin at `at`."""
+    out = np.zeros(len(at), np.int64)
+    for j in range(k):
+        out = (out * BASE + points[at + j]) % PRIMES[1]
+    return out
 
 
 def winnow(points: np.ndarray, bounds: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen positions in the normalised stream, ascending, and their hashes; bounds delimit the texts in it."""
-    first, second = (rolling(points, k, p) for p in PRIMES)
-    hashes = (first << np.int64(31)) | second
+    """Chosen positions in the normalised stream, ascending, and their fingerprints; bounds delimit the texts in it."""
+    hashes = rolling(points, k, PRIMES[0])
+    keys = (hashes << np.int64(32)) | (_LOW - np.arange(len(hashes)))
     counts = np.diff(bounds) - (k - 1)
-    chosen = [np.zeros(0, np.int64)]
-    if len(hashes) >= window:
-        chosen.append(last_least(hashes, window)[T.within(bounds, window + k - 1, len(points))])
+    chosen = []
+    if len(keys) >= window:
+        least = T.sliding_min(keys, window)
+        chosen.append(least[T.within(bounds, window + k - 1, len(points))])
     short = np.flatnonzero((counts > 0) & (counts < window))
     if len(short):
-        n = counts[short]
-        starts = np.cumsum(n) - n
-        own = np.arange(n.sum()) + np.repeat(bounds[short] - starts, n)
-        least = np.repeat(np.minimum.reduceat(hashes[own], starts), n)
-        chosen.append(np.maximum.reduceat(np.where(hashes[own] == least, own, -1), starts))
-    at = T.distinct(np.concatenate(chosen))
-    return at, hashes[at]
+        cuts = np.stack((bounds[short], bounds[short] + counts[short]), 1).ravel()
+        if cuts[-1] == len(keys):
+            cuts = cuts[:-1]
+        chosen.append(np.minimum.reduceat(keys, cuts)[::2])
+    at = T.distinct(_LOW - (np.concatenate(chosen) & _LOW)) if chosen else np.zeros(0, np.int64)
+    return at, (hashes[at] << np.int64(31)) | second(points.astype(np.int64), at, k)
 
 
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -108,7 +103,7 @@ def sql(k: int = K, window: int = WINDOW) -> str:
         each = (f"list_transform({pair(x, size)}, lambda y: (y[1] * {pow(BASE, size, p)} + y[2]) % {p}) AS {x}" for x, p in zip("ab", PRIMES))
         steps.append(f"h{2 * size} AS (SELECT doc_id, pos, {', '.join(each)} FROM {last})")
         last = f"h{2 * size}"
-    steps.append(f"m1 AS (SELECT doc_id, pos, a, b, list_transform(list_zip(a, b, range(len(a))), lambda y: (y[1] * 2147483648 + y[2])::HUGEINT * 4294967296 + (4294967295 - y[3])) AS x FROM {last} WHERE len(a) > 0)")
+    steps.append(f"m1 AS (SELECT doc_id, pos, a, b, list_transform(list_zip(a, range(len(a))), lambda y: y[1] * 4294967296 + (4294967295 - y[2])) AS x FROM {last} WHERE len(a) > 0)")
     last = "m1"
     for size in (1 << i for i in range(window.bit_length() - 1)):
         least = f"CASE WHEN len(a) < {window} THEN [list_min(x)] ELSE list_transform({pair('x', size)}, lambda y: least(y[1], y[2])) END AS x"
@@ -119,5 +114,6 @@ WITH d AS (SELECT doc_id, string_split(lower(text), '') AS cs FROM documents),
 e AS (SELECT doc_id, list_filter(list_zip(cs, range(len(cs))), lambda y: regexp_matches(y[1], '{T.WORD}')) AS z FROM d),
 h1 AS (SELECT doc_id, list_transform(z, lambda y: y[2]) AS pos, list_transform(z, lambda y: unicode(y[1])::BIGINT) AS a, list_transform(z, lambda y: unicode(y[1])::BIGINT) AS b FROM e),
 {", ".join(steps)},
-u AS (SELECT doc_id, pos, unnest(list_distinct(x)) AS x FROM {last})
-SELECT doc_id, pos[(4294967295 - x % 4294967296)::BIGINT + 1]::INT AS pos, (x // 4294967296)::BIGINT AS fingerprint FROM u"""
+u AS (SELECT doc_id, pos, b, unnest(list_distinct(x)) AS x FROM {last}),
+j AS (SELECT doc_id, pos, b, x, 4294967295 - x % 4294967296 + 1 AS j FROM u)
+SELECT doc_id, pos[j]::INT AS pos, x // 4294967296 * 2147483648 + b[j] AS fingerprint FROM j"""

@@ -18,12 +18,12 @@ def brute(text, k, window):
             for _, x in kept[i : i + k]:
                 h = (h * fp.BASE + x) % p
             own.append(h)
-        hashes.append(own[0] * 2**31 + own[1])
+        hashes.append(tuple(own))
     chosen = set()
     for i in range(max(1, len(hashes) - window + 1)) if hashes else ():
         part = hashes[i : i + window]
-        chosen.add(i + max(j for j, h in enumerate(part) if h == min(part)))
-    return [(kept[i][0], hashes[i]) for i in sorted(chosen)]
+        chosen.add(i + max(j for j, h in enumerate(part) if h[0] == min(part)[0]))
+    return [(kept[i][0], hashes[i][0] * 2**31 + hashes[i][1]) for i in sorted(chosen)]
 
 
 def test_rows_against_brute_force(spark):
