@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
@@ -247,6 +248,10 @@ def _verifier(n: int, threshold: float, bands: int, count: bool):
 _TASK = ["hi", "lo", "band", "bucket", "block", "low", "high", "all"]
 
 
+def _tasks(classes: DataFrame, low: Column, high: Column, all_: Column) -> DataFrame:
+    return classes.withColumns({"low": low, "high": high, "all": all_}).select(_TASK)
+
+
 def _verified(docs: DataFrame, classes: DataFrame, tasks: DataFrame, n: int, threshold: float, bands: int, count: bool) -> DataFrame:
     """The links that _verifier finds in tasks (hi, lo, band, bucket, block, low, high, all): classes of a bucket, of its
     blocks low and high. Pairs that meet in an earlier bucket are left to that unless all are asked for."""
@@ -273,21 +278,19 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float =
     to the head after that, by whatever bucket, is held against the other blocks.
     """
     bands, _ = bands_for(threshold, recall)
-    found = lambda tasks: _verified(docs, classes, tasks.select(_TASK), n, threshold, bands, count)
+    found = lambda *tasks: _verified(docs, classes, reduce(DataFrame.unionByName, tasks), n, threshold, bands, count)
     rows = classes.select("hi", "lo", F.posexplode("buckets").alias("band", "bucket"))
     sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int")).drop("size")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    part = lambda low, high, all_: {"low": F.col(low) if isinstance(low, str) else low, "high": F.col(high) if isinstance(high, str) else high, "all": F.lit(all_) if isinstance(all_, bool) else all_}
+    block_, blocks, other = F.col("block"), F.col("blocks"), F.col("other")
     if count or sizes.where(F.col("size") > block).isEmpty():
-        met = met.withColumn("other", each("blocks"))
-        return found(met.withColumns(part(F.least("block", "other"), F.greatest("block", "other"), False)))
+        return found(_tasks(met.withColumn("other", each("blocks")), F.least(block_, other), F.greatest(block_, other), F.lit(False)))
     large = materialise(met.where("blocks > 1"), "large")
     heads = large.groupBy("bucket", "blocks").agg(F.min(F.struct("hi", "lo", "band")).alias("head"))
     everywhere = heads.select("head.*", "bucket", each("blocks").alias("block"))
-    own = met.withColumns(part("block", "block", F.col("blocks") > 1)).select(_TASK)
-    first = found(own.unionByName(everywhere.withColumns(part("block", "block", True)).select(_TASK)))
+    first = found(_tasks(met, block_, block_, blocks > 1), _tasks(everywhere, block_, block_, F.lit(True)))
     roots = materialise(_roots(first), "roots")
     rooted = lambda df, a, b: df.join(roots.withColumnsRenamed({"hi": a, "lo": b}), [a, b], "left").withColumns({"rhi": F.coalesce("rhi", a), "rlo": F.coalesce("rlo", b)})
     at = rooted(heads.select("bucket", F.col("head.hi").alias("ahi"), F.col("head.lo").alias("alo")), "ahi", "alo").select("bucket", F.col("rhi").alias("bhi"), F.col("rlo").alias("blo"))
@@ -295,10 +298,9 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float =
     if loose.isEmpty():
         return first
     chunks = loose.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    left = large.join(chunks, "bucket").withColumn("c", each("chunks")).withColumns(part("block", F.col("blocks") + F.col("c"), True))
-    right = loose.join(chunks, "bucket").withColumn("c", F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int")).withColumn("k", each("blocks"))
-    right = right.withColumn("block", F.col("blocks") + F.col("c")).withColumns(part("k", "block", True))
-    return first.unionByName(found(left.select(_TASK).unionByName(right.select(_TASK))))
+    left = large.join(chunks, "bucket").withColumn("other", each("chunks"))  # all, in their blocks
+    right = loose.join(chunks, "bucket").withColumn("other", each("blocks")).withColumn("block", blocks + F.pmod(F.xxhash64("hi", "lo"), "chunks").cast("int"))  # what is loose, as more blocks
+    return first.unionByName(found(_tasks(left, block_, blocks + other, F.lit(True)), _tasks(right, other, block_, F.lit(True))))
 
 
 def _roots(links: DataFrame) -> DataFrame:
