@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmark.llm import text as T
-from siftmark.llm.shared import changes, discard, fresh, identity, materialise, named, tuned, whole, written
+from siftmark.llm.shared import changes, discard, fresh, identity, mapped, materialise, named, tuned, whole, written
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.5, 0.97, 128
 TEXTS = 1000  # about so many texts are verified together
@@ -162,16 +162,17 @@ def _needed(bands: int):
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class of a task; a row of the table may be repeated."""
-    seen: set[tuple[int, int]] = set()
-    for batch in batches:
-        keys = list(zip(T.column_of(batch, "hi").to_pylist(), T.column_of(batch, "lo").to_pylist()))
-        use = []
-        for key in keys:
-            use.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(use, pa.bool_()))
+def _different(a: int, b: int, names: list[str]):
+    """The first row of a task for each pair of numbers in the columns a and b; a row of a table may be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keys = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())
+            new = pa.array([not (key in seen or seen.add(key)) for key in keys], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(new) for c in batch.columns], names)
+
+    return run
 
 
 _LINK = "hi long, lo long, ohi long, olo long, links long"
@@ -264,7 +265,7 @@ def _verified(docs: DataFrame, classes: DataFrame, tasks: DataFrame, n: int, thr
     asked = needed.groupBy("hi", "lo").agg(F.collect_list(F.struct("band", "bucket", "block", "low", "high", "all")).alias("asked"))
     asked = asked.join(classes, ["hi", "lo"]).select("id", "h", "hi", "lo", "n", "buckets", "asked")
     sent = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"])
-    sent = sent.mapInArrow(_once, sent.schema).select("hi", "lo", "n", "text", "buckets", F.explode("asked").alias("a"))
+    sent = sent.mapInArrow(_different(sent.columns.index("hi"), sent.columns.index("lo"), sent.columns), sent.schema).select("hi", "lo", "n", "text", "buckets", F.explode("asked").alias("a"))
     sent = sent.select("hi", "lo", "n", "text", "a.*", F.expr("slice(buckets, 1, a.band)").alias("before"), F.pmod(F.xxhash64("a.bucket", "a.low", "a.high"), F.lit(parts)).cast("int").alias("task"))
     return materialise(sent.groupBy("task").applyInArrow(_verifier(n, threshold, bands, count), _LINK), "links")
 
@@ -398,7 +399,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     if marks.where(F.col(mark) == 2).isEmpty():
         return rows.join(marks.hint("shuffle_hash"), [own_id, own_h], "left_anti").drop(own_id, own_h)
     rows = rows.join(marks.hint("shuffle_hash"), [own_id, own_h], "left")
-    once = rows.where(F.col(mark) == 2).dropDuplicates([own_id, own_h])
+    twice = rows.where(F.col(mark) == 2)
+    once = mapped(twice, _different(*(twice.columns.index(c) for c in (own_id, own_h)), twice.columns), twice.schema).dropDuplicates([own_id, own_h])
     return rows.where(F.col(mark).isNull()).unionAll(once).drop(own_id, own_h, mark)
 
 

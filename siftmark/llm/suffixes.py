@@ -287,9 +287,9 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = RUNS) -
     kinds = kinds.join(many, "anchor", "left")
     alone = kinds.where("kinds IS NULL AND times > 1").select("anchor", "kind", F.lit(0).alias("offset"), "n", F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("pos").alias("fpos"))
     blocks = F.ceil(F.col("kinds") / most)
-    asked = materialise(kinds.where("kinds IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("kind"), blocks).cast("int")).withColumn("hot", blocks > 1).select(_ASKED), "asked")
-    tasks = max(1, -(-asked.count() // most))
-    asked = asked.groupBy("id", "h").agg(F.collect_list(F.struct(asked.columns)).alias("asked"))
+    asked = kinds.where("kinds IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("kind"), blocks).cast("int")).withColumn("hot", blocks > 1)
+    asked = materialise(asked.groupBy("id", "h").agg(F.collect_list(F.struct(_ASKED)).alias("asked")), "asked")
+    tasks = max(1, -(-(asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // most))
     once = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"]).select("id", "h", "text", "asked")
     fetched = once.mapInArrow(_fetch(length), _FETCHED).withColumn("task", F.pmod(F.xxhash64("anchor", "block"), F.lit(tasks)).cast("int"))
     mixed = materialise(fetched.groupBy("task").applyInArrow(_sorter(length), _PIECE), "pieces")
@@ -376,6 +376,7 @@ def remove(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """
     own_id, own_h, own_cuts = fresh(docs, "_id", "_h", "_cuts")
     found = spans(docs, length, k).groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n")).alias(own_cuts)).withColumnsRenamed({"id": own_id, "h": own_h})
+    found = materialise(found, "cuts")  # a table of its own, so that rows which are repeated very often can be split in the join
     id, h, _ = identity(docs)
     rows = docs.select("*", id.alias(own_id), h.alias(own_h)).join(found.hint("shuffle_hash"), [own_id, own_h], "left").drop(own_id, own_h)
     rows = rows.withColumn(own_cuts, F.coalesce(own_cuts, F.array().cast("array<struct<pos:int,n:int>>")))
