@@ -81,7 +81,7 @@ def _grams(stream: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
@@ -150,7 +150,7 @@ def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     for g, n in zip(table["grams"], table["counts"]):
         held.append((np.cumsum(_unpack(g.as_py())), _unpack(n.as_py())))
         size += len(held[-1][0])
-        if size > 8_000_000:
+        if size > 2_000_000:
             held, size = [_summed(*map(np.concatenate, zip(*held)))], 0
     return _summed(*map(np.concatenate, zip(*held)))
 
@@ -291,7 +291,7 @@ def _distinct(column: pa.ChunkedArray, depth: int) -> np.ndarray:
     for _, stream, begin in symbols(column, depth):
         held.append(T.distinct(_grams(stream, begin, depth)))
         size += len(held[-1])
-        if size > 8_000_000:
+        if size > 4_000_000:
             held = [T.distinct(np.concatenate(held))]
             size = 0
     return T.distinct(np.concatenate(held))
@@ -346,8 +346,9 @@ def _answer(depth: int, near: int, prior: float, sent):
 def _score(depth: int, near: int, parts: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         held, sizes = [], []
-        docs = docs.take(pa.array(np.lexsort((docs["b"].to_numpy(), docs["a"].to_numpy()))))
-        docs = docs.take(pa.array(changes(docs, "a", "b")))
+        order = np.lexsort((docs["b"].to_numpy(), docs["a"].to_numpy()))
+        new = changes(docs.select(["a", "b"]).take(pa.array(order)), "a", "b")
+        docs = docs.take(pa.array(order[new]))
         for _, stream, begin in symbols(docs["text"], depth):
             held.append(T.ranked(_grams(stream, begin, depth)))
             sizes.append(np.diff(begin) - depth)
