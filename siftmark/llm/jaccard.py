@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +109,7 @@ def _pairs(table: pa.Table, bands: int, most: int = 1_000_000) -> Iterator[tuple
     starts = changes(table, "bucket", "low", "high")
     sizes = np.diff(np.append(starts, table.num_rows))
     band, block, cross = table["band"].to_numpy(), table["block"].to_numpy(), table["low"].to_numpy() != table["high"].to_numpy()
-    before, all_ = _before(table["before"], bands), table["all"].to_numpy()
+    before = _before(table["before"], bands)
     left = np.concatenate([np.arange(s, s + n) for s, n in zip(starts.tolist(), sizes.tolist())])
     rest = np.repeat(starts + sizes, sizes) - left - 1  # partners after each
     ends = np.cumsum(rest)
@@ -122,7 +121,7 @@ def _pairs(table: pa.Table, bands: int, most: int = 1_000_000) -> Iterator[tuple
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         ok = ~cross[a] | (block[a] != block[b])
         a, b = a[ok], b[ok]
-        new = all_[a] | _first_meeting(before, band, a, b)
+        new = _first_meeting(before, band, a, b)
         yield a[new], b[new]
         done = stop
 
@@ -246,28 +245,33 @@ def _verifier(n: int, threshold: float, bands: int, count: bool):
     return run
 
 
-_TASK = ["hi", "lo", "band", "bucket", "block", "low", "high", "all"]
+_TASK = ["hi", "lo", "band", "bucket", "block", "low", "high"]
 
 
-def _tasks(classes: DataFrame, low: Column, high: Column, all_: Column) -> DataFrame:
-    return classes.withColumns({"low": low, "high": high, "all": all_}).select(_TASK)
+def _tasks(classes: DataFrame, low: Column, high: Column) -> DataFrame:
+    return classes.withColumns({"low": low, "high": high}).select(_TASK)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, tasks: DataFrame, n: int, threshold: float, bands: int, count: bool) -> DataFrame:
-    """The links that _verifier finds in tasks (hi, lo, band, bucket, block, low, high, all): classes of a bucket, of its
-    blocks low and high. Pairs that meet in an earlier bucket are left to that unless all are asked for."""
-    kinds = "hi long, lo long, band int, bucket long, block int, low int, high int, all boolean"
-    some = tasks.where("NOT all").join(classes.select("hi", "lo", "buckets"), ["hi", "lo"]).withColumn("before", F.expr("slice(buckets, 1, band)"))
+def _asked(classes: DataFrame, tasks: DataFrame, bands: int) -> DataFrame:
+    """(hi, lo, asked) of the classes that have a pair to verify in tasks (hi, lo, band, bucket, block, low, high), which are
+    classes of a bucket, or of its blocks low and high. Pairs that meet in a bucket of an earlier band are left to that."""
     key = ["bucket", "low", "high"]
-    some = some.select(*_TASK, "before").repartition(*key).sortWithinPartitions(*key, "hi", "lo").mapInArrow(_needed(bands), kinds)
-    needed = materialise(some.unionByName(tasks.where("all")), "needed")
-    parts = max(1, -(-needed.count() // TEXTS))
-    asked = needed.groupBy("hi", "lo").agg(F.collect_list(F.struct("band", "bucket", "block", "low", "high", "all")).alias("asked"))
-    asked = asked.join(classes, ["hi", "lo"]).select("id", "h", "hi", "lo", "n", "buckets", "asked")
-    sent = docs.select(identity(docs)).join(asked.hint("shuffle_hash"), ["id", "h"])
-    sent = sent.mapInArrow(_different(sent.columns.index("hi"), sent.columns.index("lo"), sent.columns), sent.schema).select("hi", "lo", "n", "text", "buckets", F.explode("asked").alias("a"))
-    sent = sent.select("hi", "lo", "n", "text", "a.*", F.expr("slice(buckets, 1, a.band)").alias("before"), F.pmod(F.xxhash64("a.bucket", "a.low", "a.high"), F.lit(parts)).cast("int").alias("task"))
-    return materialise(sent.groupBy("task").applyInArrow(_verifier(n, threshold, bands, count), _LINK), "links")
+    some = tasks.join(classes.select("hi", "lo", "buckets"), ["hi", "lo"]).select(*_TASK, F.expr("slice(buckets, 1, band)").alias("before"))
+    some = some.repartition(*key).sortWithinPartitions(*key, "hi", "lo").mapInArrow(_needed(bands), "hi long, lo long, band int, bucket long, block int, low int, high int")
+    return materialise(some.groupBy("hi", "lo").agg(F.collect_list(F.struct("band", *key, "block")).alias("asked")), "asked")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys with what classes says of them and the text of each."""
+    keys = classes.select("id", "h", "hi", "lo", "n", "buckets").join(keys, ["hi", "lo"])
+    found = docs.select(identity(docs)).join(keys.hint("shuffle_hash"), ["id", "h"])
+    return found.mapInArrow(_different(found.columns.index("hi"), found.columns.index("lo"), found.columns), found.schema).drop("id", "h")
+
+
+def _verified(texts: DataFrame, n: int, threshold: float, bands: int, count: bool) -> DataFrame:
+    """The links that _verifier finds; texts are rows (hi, lo, n, buckets, text, asked)."""
+    sent = texts.select("hi", "lo", "n", "text", "buckets", F.explode("asked").alias("a")).select("hi", "lo", "n", "text", "a.*", F.expr("slice(buckets, 1, a.band)").alias("before"))
+    return sent.groupBy("task").applyInArrow(_verifier(n, threshold, bands, count), _LINK)
 
 
 def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, count: bool = True, block: int = BLOCK) -> DataFrame:
@@ -276,22 +280,32 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float =
 
     Without count, links are not to be read, and pairs of classes that are connected already aren't verified. Then each
     block of a large bucket is verified by itself and with the bucket's head, its least class. Only what is not connected
-    to the head after that, by whatever bucket, is held against the other blocks.
+    to the head after that, by whatever bucket, is held against the other blocks; so no pair that connects is left out.
     """
     bands, _ = bands_for(threshold, recall)
-    found = lambda *tasks: _verified(docs, classes, reduce(DataFrame.unionByName, tasks), n, threshold, bands, count)
     rows = classes.select("hi", "lo", F.posexplode("buckets").alias("band", "bucket"))
     sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met = rows.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks")).cast("int")).drop("size")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    block_, blocks, other = F.col("block"), F.col("blocks"), F.col("other")
-    if count or sizes.where(F.col("size") > block).isEmpty():
-        return found(_tasks(met.withColumn("other", each("blocks")), F.least(block_, other), F.greatest(block_, other), F.lit(False)))
+    own, blocks, other = F.col("block"), F.col("blocks"), F.col("other")
+
+    def verified(texts: DataFrame, asked: DataFrame) -> DataFrame:
+        parts = max(1, -(-(asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // TEXTS))
+        task = F.transform("asked", lambda x: x.withField("task", F.pmod(F.xxhash64(x["bucket"], x["low"], x["high"]), F.lit(parts)).cast("int")))
+        return materialise(_verified(texts.withColumn("asked", task), n, threshold, bands, count), "links")
+
+    if count:
+        asked = _asked(classes, _tasks(met.withColumn("other", each("blocks")), F.least(own, other), F.greatest(own, other)), bands)
+        return verified(_texts(docs, classes, asked), asked)
     large = materialise(met.where("blocks > 1"), "large")
     heads = large.groupBy("bucket", "blocks").agg(F.min(F.struct("hi", "lo", "band")).alias("head"))
     everywhere = heads.select("head.*", "bucket", each("blocks").alias("block"))
-    first = found(_tasks(met, block_, block_, blocks > 1), _tasks(everywhere, block_, block_, F.lit(True)))
+    asked = _asked(classes, _tasks(met, own, own).unionByName(_tasks(everywhere, own, own)), bands)
+    texts = materialise(_texts(docs, classes, asked.select("hi", "lo").unionAll(large.select("hi", "lo")).distinct()), "texts")
+    first = verified(texts.join(asked, ["hi", "lo"]), asked)
+    if large.isEmpty():
+        return first
     roots = materialise(_roots(first), "roots")
     rooted = lambda df, a, b: df.join(roots.withColumnsRenamed({"hi": a, "lo": b}), [a, b], "left").withColumns({"rhi": F.coalesce("rhi", a), "rlo": F.coalesce("rlo", b)})
     at = rooted(heads.select("bucket", F.col("head.hi").alias("ahi"), F.col("head.lo").alias("alo")), "ahi", "alo").select("bucket", F.col("rhi").alias("bhi"), F.col("rlo").alias("blo"))
@@ -301,7 +315,8 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int = N, threshold: float =
     chunks = loose.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
     left = large.join(chunks, "bucket").withColumn("other", each("chunks"))  # all, in their blocks
     right = loose.join(chunks, "bucket").withColumn("other", each("blocks")).withColumn("block", blocks + F.pmod(F.xxhash64("hi", "lo"), "chunks").cast("int"))  # what is loose, as more blocks
-    return first.unionByName(found(_tasks(left, block_, blocks + other, F.lit(True)), _tasks(right, other, block_, F.lit(True))))
+    asked = _asked(classes, _tasks(left, own, blocks + other).unionByName(_tasks(right, other, own)), bands)
+    return first.unionByName(verified(texts.join(asked, ["hi", "lo"]), asked))
 
 
 def _roots(links: DataFrame) -> DataFrame:
